@@ -106,6 +106,24 @@ def tolerance(form: str) -> int:
     return 0 if n <= 2 else 1 if n <= 6 else 2 if n <= 13 else 3
 
 
+def distance(a: str, b: str) -> int:
+    """Unrestricted Damerau-Levenshtein distance of two strings."""
+    far = len(a) + len(b)
+    table = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
+    seen: dict[str, int] = {}
+    for i, x in enumerate(a, 1):
+        row, above, db = [far, i], table[i], 0
+        for j, y in enumerate(b, 1):
+            i1 = seen.get(y, 0)
+            swap = table[i1][db] + (i - i1 - 1) + 1 + (j - db - 1)
+            row.append(min(above[j] + (x != y), row[j] + 1, above[j + 1] + 1, swap))
+            if x == y:
+                db = j
+        seen[x] = i
+        table.append(row)
+    return table[-1][-1]
+
+
 class Batch:
     """Values of one batch as padded code points, for distances to one string at a time."""
 
@@ -163,7 +181,7 @@ class BKTree:
         at = 0
         while True:
             self.reach[at] = max(self.reach[at], limit)
-            d = int(Batch([self.words[at]]).distances(word, np.array([0]))[0])
+            d = distance(self.words[at], word)
             if d == 0:
                 self.refs[at].append((ref, limit))
                 return
