@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import canonical, confusables, reading, splitting
+from docweave.llm import canonical, confusables, reading, similar, splitting
 from docweave.runtime import table
 
 FIELDS = ("co_quan_ban_hanh", "loai")
@@ -30,6 +30,17 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return p1_mapped(spark, folder).where("ref_id < 0").groupBy("field", "value").agg(F.count_distinct("id").alias("n_records"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = similar.most_similar(table(spark, folder, "embedding_result"), "emb_id", "vector", 64, k=5, min_similarity=0.90)
+    return near.select(F.least("id", "other").alias("emb_id_a"), F.greatest("id", "other").alias("emb_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to 5 neighbours of cosine 0.7 and more of each record."""
+    near = similar.most_similar(table(spark, folder, "embedding_result"), "emb_id", "vector", 64, k=5, min_similarity=0.7)
+    return near.select("id", "other", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = [confusables.alike_pairs(table(spark, folder, t), key, text).select(F.lit(t).alias("source_table"), "id_a", "id_b") for t, key, text in TEXTS]
     return pairs[0].unionByName(pairs[1])
@@ -67,6 +78,7 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
+    "p4_found": p4_found, "p4_neighbours": p4_neighbours,
     "p5_found": p5_found, "p5_classes": p5_classes,
     "p7_found": p7_found, "p7_pieces": p7_pieces,
     "p10_found": p10_found, "p10_profile": p10_profile,
