@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import canonical, confusables, reading, similar, splitting
+from docweave.llm import canonical, confusables, markup, mixture, packing, reading, similar, splitting
 from docweave.runtime import table
 
 FIELDS = ("co_quan_ban_hanh", "loai")
@@ -30,6 +30,20 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return p1_mapped(spark, folder).where("ref_id < 0").groupBy("field", "value").agg(F.count_distinct("id").alias("n_records"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.elements(table(spark, folder, "document_content"))
+
+
+def p2_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """The elements with their clean text."""
+    return markup.elements(table(spark, folder, "document_content"), with_text=True)
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean text of each record."""
+    return markup.clean_texts(table(spark, folder, "document_content"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     near = similar.most_similar(table(spark, folder, "embedding_result"), "emb_id", "vector", 64, k=5, min_similarity=0.90)
     return near.select(F.least("id", "other").alias("emb_id_a"), F.greatest("id", "other").alias("emb_id_b")).distinct()
@@ -64,6 +78,22 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_items(_items(spark, folder), with_text=True).distinct()
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, folder))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mixture_target"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mixture_target"))[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
     vietnamese = F.col("lang") == "vi"
@@ -78,9 +108,12 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
+    "p2_found": p2_found, "p2_elements": p2_elements, "p2_clean": p2_clean,
     "p4_found": p4_found, "p4_neighbours": p4_neighbours,
     "p5_found": p5_found, "p5_classes": p5_classes,
     "p7_found": p7_found, "p7_pieces": p7_pieces,
+    "p8_containers": p8_containers, "p8_report": p8_report,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_profile": p10_profile,
 }
 
