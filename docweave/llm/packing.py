@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.runtime import settled
 
@@ -101,7 +102,7 @@ def _by_word(count):
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``id`` (+ ``keep``), ``n_tokens`` of each row; null texts have 0."""
     rows = documents.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
-    schema = rows.drop("text").schema.add("n_tokens", "int")
+    schema = rows.drop("text").schema.add("n_tokens", T.IntegerType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = encoder(folder, vocabulary)
