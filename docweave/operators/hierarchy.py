@@ -2,8 +2,8 @@
 
 Weighted disjoint-set forests: every task unites the links of one id range and knows each node's offset to the head of its set.  A head whose
 parent lies in another range is a boundary link; boundary links, far fewer than nodes, form the next level and are united again, until
-one level fits a task.  The answers then flow back by one join a level.  Where ids share no prefix with their parents, levels hardly shrink;
-every level also jumps each boundary link over its parent's whole set, so their number stays logarithmic in the longest chain.
+one level fits a task.  The answers then flow back by one join a level.  Where ids share no prefix with their parents a level may not halve the links; it is
+then solved by doubling: each link takes over its parent's link, so after the logarithm of their number all have met a root or run round a loop.
 
 Defined results: null ids are left out; a repeated id is one node with the smallest of its parents by code points (nulls only if all are null); a null, blank
 or unknown parent makes a root of depth 0; a node on a loop or below one has depth -1 and the loop's smallest id as root; a node that is its
@@ -124,7 +124,34 @@ def _contract(batches: Iterator[pd.DataFrame], with_trails: bool) -> Iterator[pd
         yield pd.DataFrame(columns)
 
 
-def _solve(rows: DataFrame, count: int, with_trails: bool, level: int, total: int) -> DataFrame:
+def _double(rows: DataFrame, count: int, with_trails: bool) -> DataFrame:
+    """``id, root, depth`` (+ ``trail``) of rows whose parents are all among their ids, without gathering them in a task."""
+    trail = ["trail"] if with_trails else []
+    hops = 1
+    while rows.where("parent is not null").limit(1).count() and hops < count:
+        p = rows.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("w").alias("p_w"), F.col("seg").alias("p_seg"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), *(F.col(t).alias("p_trail") for t in trail))
+        met = rows.join(p, F.col("parent") == F.col("p_id"), "left")
+        ends = F.col("p_root").isNotNull()
+        rows = settled(
+            met.select(
+                "id",
+                F.when(~ends, F.col("p_parent")).alias("parent"),
+                (F.col("w") + F.coalesce("p_w", F.lit(0))).alias("w"),
+                F.least("seg", "p_seg").alias("seg"),
+                F.coalesce("root", "p_root").alias("root"),
+                F.when(F.col("root").isNotNull(), F.col("depth")).when(ends & (F.col("p_depth") < 0), -1).when(ends, F.col("p_depth") + F.col("w")).otherwise(F.col("depth")).cast("long").alias("depth"),
+                *(F.when(F.col("p_id").isNull(), F.col(t)).otherwise(F.concat(t, "p_trail")).alias(t) for t in trail),
+            )
+        )
+        hops *= 2
+    # what has no root yet has gone at least as many links as there are: its parent lies on the loop, and the parent's own way covers all of it
+    low = rows.where("root is null").select(F.col("id").alias("p_id"), F.col("seg").alias("low"))
+    out = rows.join(low, F.col("parent") == F.col("p_id"), "left")
+    looping = F.col("root").isNull()
+    return out.select("id", F.coalesce("root", "low").alias("root"), F.when(looping, -1).otherwise(F.col("depth")).cast("long").alias("depth"), *(F.when(looping, F.array().cast("array<string>")).otherwise(F.col(t)).alias(t) for t in trail))
+
+
+def _solve(rows: DataFrame, count: int, with_trails: bool, level: int) -> DataFrame:
     """``id, root, depth`` (+ ``trail``: the ancestors, parent first) of every row of ``rows``."""
     spark = rows.sparkSession
     schema = "id string, parent string, head string, off long, seg string, root string, depth long" + ", trail array<string>" * with_trails
@@ -144,7 +171,6 @@ def _solve(rows: DataFrame, count: int, with_trails: bool, level: int, total: in
     wanted = small(edge.select(F.col("parent").alias("p_id")).distinct(), edges)
     met = edge.join(small(target.join(wanted, "p_id", "left_semi"), edges), F.col("parent") == F.col("p_id"), "left")
     unknown, solved = F.col("p_id").isNull(), F.col("p_root").isNotNull()
-    looping = ~unknown & ~solved & (F.col("w") + F.col("p_off") > F.lit(total))
     nxt = met.select(
         "id",
         F.when(~unknown & ~solved, F.col("head")).alias("parent"),
@@ -153,16 +179,12 @@ def _solve(rows: DataFrame, count: int, with_trails: bool, level: int, total: in
         F.when(unknown, F.col("id")).otherwise(F.col("p_root")).alias("root"),
         F.when(unknown, 0).when(solved & (F.col("p_depth") < 0), -1).when(solved, F.col("p_depth") + F.col("w")).otherwise(0).cast("long").alias("depth"),
         *([F.when(unknown, F.array().cast("array<string>")).otherwise(F.concat("trail", "p_trail")).alias("trail")] if with_trails else []),
-        looping.alias("loop"),
     )
     nxt = settled(nxt)
-    if edges > LAST_LEVEL_ROWS and (stuck := nxt.where("loop").count()):
-        # A way longer than there are nodes has entered its loop: its end lies on the loop, and that node's own way covers all of it.
-        ends = nxt.where("loop").select(F.col("id").alias("end"), F.col("seg").alias("low"))
-        nxt = nxt.join(small(ends, stuck), (F.col("parent") == F.col("end")) & F.col("loop"), "left")
-        nxt = nxt.withColumn("root", F.when(F.col("loop"), F.col("low")).otherwise(F.col("root"))).withColumn("depth", F.when(F.col("loop"), -1).otherwise(F.col("depth"))).drop("end", "low")
-        nxt = settled(nxt)
-    solved_edges = _solve(nxt.drop("loop"), edges, with_trails, level + 1, total)
+    if edges > LAST_LEVEL_ROWS and edges > count / 2:
+        solved_edges = _double(nxt, edges, with_trails)
+    else:
+        solved_edges = _solve(nxt, edges, with_trails, level + 1)
     head = solved_edges.select(F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("depth").alias("h_depth"), *([F.col("trail").alias("h_trail")] if with_trails else []))
     own = F.when(F.col("parent").isNull(), F.col("off")).otherwise(0)
     open_ = F.col("h_id").isNotNull()
@@ -195,7 +217,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     )
     rows = settled(rows)
     count = rows.count()
-    solved = _solve(rows, count, with_paths, 0, count)
+    solved = _solve(rows, count, with_paths, 0)
     out = [F.col("id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth")]
     if with_paths:
         out.append(F.when(F.col("depth") >= 0, F.concat(F.reverse("trail"), F.array("id"))).alias("path"))
