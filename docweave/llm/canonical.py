@@ -280,7 +280,7 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, shard_entries: int
     counted and dealt out over shards of at most ``shard_entries``; a list of one shard is looked up in a closure, more shards are matched side by
     side (the values are sent to each) and the nearest of their winners is kept.
     """
-    asked = values.where(F.col("value").isNotNull() & F.col("field").isNotNull())
+    asked = values.select("id", "field", "value").where(F.col("value").isNotNull() & F.col("field").isNotNull())
     exact = reference.select(F.col("field"), F.col("ref_name").alias("value")).distinct()
     n_ref = reference.count()
     n_shards = max(1, -(-n_ref // shard_entries))

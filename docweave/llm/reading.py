@@ -207,7 +207,7 @@ def _features(batches: Iterator[pd.DataFrame], counts: np.ndarray) -> Iterator[p
 
 def fit(graded: DataFrame, counts: np.ndarray, max_graded: int = MAX_GRADED) -> OrdinalModel | None:
     """``graded(doc_id, text, level)`` -> the model, or None where there aren't two levels."""
-    bounded = graded.where("text is not null and level is not null").select("doc_id", "level", "text").orderBy(F.xxhash64("doc_id")).limit(max_graded)
+    bounded = graded.where("text is not null and level is not null").select("doc_id", "level", "text").orderBy(F.xxhash64("doc_id")).limit(max_graded).repartition(graded.sparkSession.sparkContext.defaultParallelism)
     rows = bounded.mapInPandas(lambda b: _features(b, counts), "doc_id long, level int, x array<float>").orderBy("doc_id").toPandas()
     if rows.empty or rows["level"].nunique() < 2:
         return None
@@ -227,15 +227,15 @@ def estimate_levels(documents: DataFrame, labels: DataFrame, wanted, max_graded:
 
     ``documents(doc_id, text, ...)``, ``labels(doc_id, level)``; ``graded_where`` says which labelled documents the model may learn from.
     """
-    known = labels.where(F.col("level").between(1, LEVELS)).groupBy("doc_id").agg(F.min("level").alias("level"))
-    known = settled(known)
-    known = small(known)
-    marked = documents.join(known, "doc_id", "left")
-    counts = word_counts(marked.select("text", F.coalesce("level", F.lit(0)).alias("level")))
-    graded = documents.join(known, "doc_id")
-    model = fit(graded if graded_where is None else graded.where(graded_where), counts, max_graded)
+    known = labels.where(F.col("level").between(1, LEVELS)).groupBy("doc_id").agg(F.min("level").alias("__level"))
+    known = small(settled(known))
+    # the conditions are taken where the documents still have all their columns
+    flags = documents.select("doc_id", "text", wanted.alias("__wanted"), (F.lit(True) if graded_where is None else graded_where).alias("__may_teach"))
+    marked = flags.join(known, "doc_id", "left")
+    counts = word_counts(marked.select("text", F.coalesce("__level", F.lit(0)).alias("level")))
+    model = fit(flags.where("__may_teach").join(known, "doc_id").select("doc_id", "text", F.col("__level").alias("level")), counts, max_graded)
     schema = "doc_id long, level int"
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
-    left = marked.where(F.col("level").isNull() & F.col("text").isNotNull() & wanted).select("doc_id", "text")
+    left = marked.where("__level is null and text is not null and __wanted").select("doc_id", "text")
     return left.mapInPandas(lambda b: _score(b, counts, model), schema).dropDuplicates(["doc_id"])
