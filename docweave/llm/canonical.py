@@ -310,19 +310,35 @@ def _matched(batch: pd.DataFrame, trees: dict[str, BKTree]) -> Iterator[pd.DataF
         yield pd.DataFrame(rows, columns=["field", "value", "ref_id", "distance"]).astype({"distance": "Int32"})
 
 
+def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ways to read each value: way 0 is the value as a whole, the others are its splits, strongest separators first."""
+    for batch in batches:
+        rows = []
+        for field, value in zip(batch["field"], batch["value"], strict=True):
+            for way, parts in enumerate([[value], *pieces(value, field)]):
+                rows += [(field, value, way, len(parts), p) for p in parts]
+        yield pd.DataFrame(rows, columns=["field", "value", "way", "n_parts", "part"])
+
+
 def _sharded(distinct: DataFrame, reference: DataFrame, n_shards: int) -> DataFrame:
-    """Each shard's tree answers for every value; whole matches of any shard go before readings in parts."""
+    """Each shard's tree answers for every part of every reading; the winners are merged per part, then the first reading all of whose parts are entries counts."""
+    readings = distinct.mapInPandas(_readings, "field string, value string, way int, n_parts int, part string")
     entries = reference.select("field", "ref_id", "ref_name", "short_code", "former_name").withColumn("shard", F.pmod(F.xxhash64("field", "ref_id"), F.lit(n_shards)).cast("int"))
-    spread = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("lane", F.pmod(F.xxhash64("value"), F.lit(8)).cast("int"))
+    spread = readings.select("field", "part").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("lane", F.pmod(F.xxhash64("part"), F.lit(8)).cast("int"))
     wide = entries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(7))))
 
-    def look(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = tuple(sorted((r.field, int(r.ref_id), *(x if isinstance(x, str) else None for x in (r.ref_name, r.short_code, r.former_name))) for r in right.itertuples()))
-        out = list(_matched(left, _trees(rows))) if len(left) else []
-        return pd.concat(out) if out else pd.DataFrame({"field": [], "value": [], "ref_id": [], "distance": []}).astype({"field": str, "value": str, "ref_id": "int64", "distance": "Int32"})
-
-    each = spread.groupBy("shard", "lane").cogroup(wide.groupBy("shard", "lane")).applyInPandas(look, "field string, value string, ref_id long, distance int")
-    per = each.groupBy("field", "value", "ref_id").agg(F.min("distance").alias("distance"))
-    best = per.groupBy("field", "value").agg(F.max("ref_id").alias("any_ref"), F.min("distance").alias("least"))
-    joined = per.join(best, ["field", "value"])
-    return joined.where("any_ref < 0 or (ref_id >= 0 and distance = least)").select("field", "value", "ref_id", "distance")
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = tuple(sorted((r.field, int(r.ref_id), *(x if isinstance(x, str) else "" for x in (r.ref_name, r.short_code, r.former_name))) for r in right.itertuples()))
+        trees, out = _trees(rows), []
+        for field, part in left.groupby("field"):
+            if field in trees:
+                found = _lookup(trees[field], {v: forms(v, field) for v in part["part"]})
+                out += [(field, v, hits[0][1], hits[0][0]) for v, hits in found.items() if hits]
+        return pd.DataFrame(out, columns=["field", "part", "ref_id", "distance"]).astype({"ref_id": "int64", "distance": "int32"})
+
+    each = spread.groupBy("shard", "lane").cogroup(wide.groupBy("shard", "lane")).applyInPandas(look, "field string, part string, ref_id long, distance int")
+    best = each.groupBy("field", "part").agg(F.min(F.struct("distance", "ref_id")).alias("hit"))
+    met = readings.join(best, ["field", "part"]).groupBy("field", "value", "way", "n_parts").agg(F.count("*").alias("n"), F.collect_set("hit").alias("hits")).where("n = n_parts")
+    first = met.groupBy("field", "value").agg(F.min(F.struct("way", "hits"))["hits"].alias("hits"))
+    told = distinct.join(first, ["field", "value"], "left").select("field", "value", F.explode_outer("hits").alias("hit"))
+    return told.select("field", "value", F.coalesce("hit.ref_id", F.lit(-1)).cast("long").alias("ref_id"), F.col("hit.distance").alias("distance"))

@@ -139,7 +139,7 @@ def test_similar_cases(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_ROWS", 4)
     base = [[1.0, 0, 0, 0], [0.99, 0.1, 0, 0], [0, 1.0, 0, 0]]
     rows = [(k, base[0]) for k in range(9)] + [(20, base[1]), (21, base[2]), (22, [2.0, 0, 0, 0]), (30, [0.0] * 4), (31, [float("nan"), 1, 1, 1]), (32, None), (33, [1.0]), (34, [1.0, None, 0, 0]), (5, base[0]), (None, base[0])]
-    df = spark.createDataFrame([(i, v, "t") for i, v in rows], "emb_id long, vector array<float>, id string")
+    df = spark.createDataFrame([(i, v and [None if x is None else float(x) for x in v], "t") for i, v in rows], "emb_id long, vector array<float>, id string")
     got = similar.most_similar(df, "emb_id", "vector", 4, 5, 0.9).collect()
     by: dict = {}
     for r in got:
