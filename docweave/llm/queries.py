@@ -118,5 +118,11 @@ QUERIES = {
 }
 
 SQL = {
+    "p4_found": """
+WITH v AS (SELECT DISTINCT emb_id, vector::DOUBLE[] AS v FROM embedding_result WHERE len(vector) = 64 AND NOT list_bool_or([isnan(x) OR isinf(x) FOR x IN vector]) AND list_bool_or([x <> 0 FOR x IN vector])),
+n AS (SELECT emb_id, v, sqrt(list_dot_product(v, v)) AS norm FROM v),
+s AS (SELECT a.emb_id AS a, b.emb_id AS b, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS cosine FROM n a JOIN n b ON a.emb_id <> b.emb_id),
+r AS (SELECT a, b FROM s WHERE cosine >= 0.90 QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS emb_id_a, greatest(a, b) AS emb_id_b FROM r""",
     "p7_found": "SELECT DISTINCT id, field FROM (SELECT id, 'content' AS field, content AS t FROM document_node UNION ALL SELECT id, 'full_text', full_text FROM document_node) WHERE id IS NOT NULL AND length(t) > 1200",
 }
