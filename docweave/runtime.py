@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,7 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a folder of our own only where none is named (tests, local runs)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = Path(tempfile.mkdtemp(prefix="docweave-")).as_uri()
+        own = tempfile.mkdtemp(prefix="docweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = Path(own).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
