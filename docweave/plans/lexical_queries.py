@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import code_terms, content_terms
 from docweave.operators import lexical as L
-from docweave.runtime import settled, table
+from docweave.runtime import settled, spread, table
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from docweave.operators import metadata as M
 from docweave.operators import structure as S
 from docweave.operators.hierarchy import hierarchy
 from docweave.plans.vector_queries import _near, store
-from docweave.runtime import table
+from docweave.runtime import spread, table
 
 #: Invented document heads.
 HEADS = (
@@ -116,7 +116,7 @@ def heading_parse(spark, folder):
 
 
 def structure_tree(spark, folder):
-    texts = table(spark, folder, "documents").where("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    texts = spread(table(spark, folder, "documents").where("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"))
     return S.parse_documents(texts, "id", "text").select("id", "parent_id", "type", "title", F.char_length("content").alias("n_chars"), F.size("reference").alias("n_references"), "position")
 
 

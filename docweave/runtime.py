@@ -44,5 +44,11 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan for heavy work per row: a table of fewer splits than there are cores is dealt out over them first."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task), 1)
