@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import canonical, confusables, markup, mixture, packing, reading, similar, splitting
-from docweave.runtime import table
+from docweave.runtime import spread, table
 
 FIELDS = ("co_quan_ban_hanh", "loai")
 TEXTS = (("document_metadata", "id", "ten_van_ban"), ("chroma_query_result", "result_id", "text"))
@@ -31,17 +31,17 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.elements(table(spark, folder, "document_content"))
+    return markup.elements(spread(table(spark, folder, "document_content")))
 
 
 def p2_elements(spark: SparkSession, folder: str) -> DataFrame:
     """The elements with their clean text."""
-    return markup.elements(table(spark, folder, "document_content"), with_text=True)
+    return markup.elements(spread(table(spark, folder, "document_content")), with_text=True)
 
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The clean text of each record."""
-    return markup.clean_texts(table(spark, folder, "document_content"))
+    return markup.clean_texts(spread(table(spark, folder, "document_content")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+    return packing.pack(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,15 +87,15 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mixture_target"))[0]
+    return mixture.mix(spread(table(spark, folder, "documents")), table(spark, folder, "mixture_target"))[0]
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.mix(table(spark, folder, "documents"), table(spark, folder, "mixture_target"))[1]
+    return mixture.mix(spread(table(spark, folder, "documents")), table(spark, folder, "mixture_target"))[1]
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars"))
     vietnamese = F.col("lang") == "vi"
     return reading.estimate_levels(documents, table(spark, folder, "reading_label"), vietnamese & (F.col("n_chars") >= 300), graded_where=vietnamese)
 
