@@ -285,10 +285,8 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, shard_entries: int
     n_ref = reference.count()
     n_shards = max(1, -(-n_ref // shard_entries))
     asked = asked.join(F.broadcast(exact) if n_shards == 1 else exact, ["field", "value"], "left_anti")
-    # few bytes but much work a value: the distinct values keep a task for every core
-    spark = values.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = asked.groupBy("field", "value").count().select("field", "value").repartition(tasks, "value")
+    # no finer partitions than the shuffle leaves: a node's distance table costs about the same for 10 values as for 1000
+    distinct = asked.groupBy("field", "value").count().select("field", "value")
     if n_shards == 1:
         entries = tuple((r["field"], int(r["ref_id"]), r["ref_name"], r["short_code"], r["former_name"]) for r in reference.select("field", "ref_id", "ref_name", "short_code", "former_name").distinct().collect() if r["field"])
 
