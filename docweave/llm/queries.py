@@ -50,8 +50,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """Up to 5 neighbours of cosine 0.7 and more of each record."""
-    near = similar.most_similar(table(spark, folder, "embedding_result"), "emb_id", "vector", 64, k=5, min_similarity=0.7)
+    """The 5 most similar other records of each record."""
+    near = similar.most_similar(table(spark, folder, "embedding_result"), "emb_id", "vector", 64, k=5)
     return near.select("id", "other", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -8,7 +8,8 @@ Vectors that are equal number for number are one node of the index; their record
 row.  A bucket of more than ``BLOCK_ROWS`` vectors is shared out: its probes are dealt over several tasks, each of which holds the bucket's vectors.
 
 The index grows with the collection as the theory asks: one more projection a doubling keeps the candidates of a probe few, and the number of tables follows
-from the chance that a pair at the asked similarity is met.
+from the chance that a pair of cosine HASHED is met.  Below that similarity hashing would lose neighbours, the more the larger the collection; who asks for
+less gets an exact search instead: the vectors are cut into blocks, every two blocks meet once, and each vector keeps its best of every block.
 
 Defined results: null vectors, vectors of another size, with NaN or infinite numbers, or all zero take no part; a repeated record counts once and is never its own
 neighbour; equal similarities are ranked by id; an empty table gives an empty result.
@@ -35,7 +36,13 @@ PROBES = 6
 BASE_ROWS, BASE_PROJECTIONS, BASE_CHANCE, DECAY = 50_000, 10, 0.6, 0.897
 #: Share of such pairs that no table may bring together.
 MISS = 0.005
+#: The least similarity that the tables are planned for; below it the search is exact.
+HASHED = 0.9
 BLOCK_ROWS = 20_000
+#: Vectors in a block of the exact search: at most MEET_ROWS, so that two blocks fit a task; up to MEET_BLOCKS blocks of MEET_LEAST, so that all cores have work.
+MEET_ROWS, MEET_BLOCKS, MEET_LEAST = 40_000, 8, 1000
+#: Places to which exact similarities are rounded, so that equal ones tie.
+PLACES = 12
 SEED = 20240229
 
 
@@ -172,13 +179,45 @@ def _compare(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -
             yield from meet(own_ids, own, own_err, True)
 
 
-def most_similar(vectors: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5, min_similarity: float = -1.0) -> DataFrame:
-    """``id, other, similarity, rank``: the up to ``k`` most similar other records of each record, of at least ``min_similarity``."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable("vector", size))
-    rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector"))
-    nodes = settled(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("vector").alias("vector"), F.min("id").alias("lo"), F.max("id").alias("hi")))
-    count = nodes.count()
+def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
+    """The k best of ``y`` for each row of ``x``, by id where they are equal; ``y`` is ``x`` where a block meets itself."""
+    for a in range(0, len(ids), 256):
+        cosine = x[a : a + 256] @ y.T
+        if x is y:
+            lane = np.arange(len(cosine))
+            cosine[lane, a + lane] = -np.inf
+        bound = np.full(len(cosine), least)
+        if len(other_ids) > k:
+            bound = np.maximum(bound, np.partition(cosine, len(other_ids) - k, 1)[:, len(other_ids) - k])
+        i, j = np.nonzero(cosine >= bound[:, None] - 2 * 10.0**-PLACES)
+        part = pd.DataFrame({"node": ids[a + i], "near": other_ids[j], "similarity": np.round(cosine[i, j], PLACES)})
+        part = part[part["similarity"] >= least].sort_values(["node", "similarity", "near"], ascending=[True, False, True])
+        yield part[part.groupby("node").cumcount() < k]
+
+
+def _every(nodes: DataFrame, count: int, k: int, least: float) -> DataFrame:
+    """``node, near, similarity``: each vector's k best of every block, over all pairs."""
+    blocks = max(-(-count // MEET_ROWS), min(MEET_BLOCKS, -(-count // MEET_LEAST)))
+    placed = nodes.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("cell"), "block", "id", "vector")
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        ids, x, block = cell["id"].to_numpy(np.int64), _directions(cell["vector"]), cell["block"].to_numpy()
+        sides = [(ids[block == b], x[block == b]) for b in np.unique(block)]
+        found = [pd.DataFrame({"node": [], "near": [], "similarity": []})]
+        if len(sides) == 2:
+            found = [*_best(*sides[0], *sides[1], k, least), *_best(*sides[1], *sides[0], k, least)]
+        elif cell["cell"].iloc[0] == block[0] * (blocks + 1):  # else the other block is empty
+            found = [*_best(*sides[0], *sides[0], k, least)]
+        return pd.concat(found)
+
+    return met.repartition(blocks * (blocks + 1) // 2, "cell").groupBy("cell").applyInPandas(run, "node long, near long, similarity double")
+
+
+def _hashed(nodes: DataFrame, count: int, size: int, k: int, least: float) -> DataFrame:
+    """``node, near, similarity``, both ways, of what the tables bring together, with the exact cosine."""
+    spark = nodes.sparkSession
     schema = "a long, b long"
     if count > 1:
         projections, tables = plan(count)
@@ -189,7 +228,7 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, size: int, k:
         blocks = F.when(F.col("hot").isNull(), F.array(F.lit(0))).when(F.col("probe"), F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         shared = shared.select("bucket", F.explode(blocks).alias("block"), "probe", "id", "scale", "code")
         buckets = tasks_for(spark, count * tables * (PROBES + 1), 1_000_000)
-        found = shared.repartition(buckets, "bucket", "block").sortWithinPartitions("bucket", "block", "probe").mapInPandas(lambda b: _compare(b, size, k, min_similarity), schema)
+        found = shared.repartition(buckets, "bucket", "block").sortWithinPartitions("bucket", "block", "probe").mapInPandas(lambda b: _compare(b, size, k, least), schema)
         pairs = found.distinct()
     else:
         pairs = spark.createDataFrame([], schema)
@@ -198,8 +237,20 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, size: int, k:
     unit = unit.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
     both = pairs.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb")), "b")
     cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("na") * F.col("nb"))
-    exact = both.select("a", "b", cosine.alias("similarity")).where(F.col("similarity") >= min_similarity)
-    each = exact.select(F.col("a").alias("node"), F.col("b").alias("near"), "similarity").unionByName(exact.select(F.col("b").alias("node"), F.col("a").alias("near"), "similarity"))
+    exact = both.select("a", "b", cosine.alias("similarity")).where(F.col("similarity") >= least)
+    return exact.select(F.col("a").alias("node"), F.col("b").alias("near"), "similarity").unionByName(exact.select(F.col("b").alias("node"), F.col("a").alias("near"), "similarity"))
+
+
+def most_similar(vectors: DataFrame, id_col: str, vector_col: str, size: int, k: int = 5, min_similarity: float = -1.0) -> DataFrame:
+    """``id, other, similarity, rank``: the up to ``k`` most similar other records of each record, of at least ``min_similarity``."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable("vector", size))
+    rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector"))
+    nodes = settled(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("vector").alias("vector"), F.min("id").alias("lo"), F.max("id").alias("hi")))
+    count = nodes.count()
+    if count > 1 and min_similarity < HASHED:
+        each = _every(nodes, count, k, min_similarity)
+    else:
+        each = _hashed(nodes, count, size, k, min_similarity)
     best = Window.partitionBy("node").orderBy(F.desc("similarity"), "near")
     near = each.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
     # records of equal vectors: at most the k + 1 smallest ids of a node can be among anyone's k best

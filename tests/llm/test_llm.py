@@ -135,6 +135,32 @@ def test_similar_recall(spark):
     assert len(got & want) / len(want) > 0.95 and len(got - want) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("least", [-1.0, 0.3, 0.7])
+def test_similar_below_the_tables(spark, monkeypatch, least):
+    """Every record gets its k best, however far they are."""
+    monkeypatch.setattr(similar, "MEET_LEAST", 60)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    x[250:280] = np.rint(x[250:280])  # some equal similarities
+    x[280:] = x[:20] + rng.normal(size=(20, 16)) * 0.4
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)] + [(300, x[7].astype(np.float32).tolist())]
+    u = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    cosine = np.round(u @ u.T, 12)
+    want = {(i, j) for i in range(301) for j in sorted((j for j in range(301) if j != i and cosine[i, j] >= least), key=lambda j: (-cosine[i, j], j))[:5]}
+    got = similar.most_similar(spark.createDataFrame(rows, "emb_id long, vector array<float>"), "emb_id", "vector", 16, 5, least).collect()
+    assert {(r["id"], r["other"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["similarity"] - cosine[r["id"], r["other"]]) < 1e-9 for r in got)
+
+
+def test_neighbours_are_five_each(spark, tmp_path):
+    from docweave.llm.queries import p4_neighbours
+
+    x = np.random.default_rng(7).normal(size=(40, 64))
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "emb_id long, vector array<float>").write.parquet(str(tmp_path / "embedding_result.parquet"))
+    assert {r["count"] for r in p4_neighbours(spark, str(tmp_path)).groupBy("id").count().collect()} == {5}
+
+
 def test_similar_cases(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_ROWS", 4)
     base = [[1.0, 0, 0, 0], [0.99, 0.1, 0, 0], [0, 1.0, 0, 0]]
