@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import fuzzy_score, number_slug
+from docweave.functions.text import number_slug, strip_marks
 from docweave.operators.vector import upsert
+from docweave.runtime import settled
+
+#: Names and asked texts that meet in one task of a likeness search at most.
+NAMES_A_TASK, TEXTS_A_TASK = 50_000, 2000
 
 # Relation types, folder types in the order they are tried, and the relation a folder's documents have to a law.
 RELATION_TYPES = ("huong_dan_thi_hanh", "sua_doi_bo_sung", "thay_the", "bai_bo", "dinh_chi_hieu_luc", "tam_thoi_ap_dung", "giai_thich", "lien_quan", "tham_chieu", "can_cu")
@@ -92,19 +102,63 @@ def by_entity(relations: DataFrame) -> DataFrame:
     return out.unionByName(into).where("entity is not null")
 
 
+def _likest(asked: pd.DataFrame, names: pd.DataFrame, threshold: float, limit: int) -> pd.DataFrame:
+    """The ``limit`` documents of the likest names for each asked text.
+
+    The letters two texts share bound their likeness from above, so names are scored in the order of that bound until it falls below the last place.
+    """
+    columns = ["q", "so_hieu", "score"]
+    if not len(asked) or not len(names):
+        return pd.DataFrame([], columns=columns)
+    held = [t or "" for t in names["plain"]]
+    lane = {c: i for i, c in enumerate(sorted(set("".join(held))))}
+    letters = np.zeros((len(held), len(lane)), np.int32)
+    for row, t in enumerate(held):
+        for c, n in Counter(t).items():
+            letters[row, lane[c]] = n
+    lengths, numbers, rows = letters.sum(1), list(names["numbers"]), []
+    for q in asked["q"]:
+        own = Counter(q)
+        cols = [lane[c] for c in own if c in lane]
+        shared = np.minimum(letters[:, cols], np.array([own[c] for c in own if c in lane], np.int32)).sum(1)
+        bound = np.round(2 * shared / np.maximum(lengths + len(q), 1), 6)
+        found: dict[str, float] = {}
+        least = threshold
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] < least:
+                break
+            score = round(SequenceMatcher(None, q, held[j]).ratio(), 6) if q and held[j] else 0.0
+            if score >= least:
+                for number in numbers[j]:
+                    found[number] = max(score, found.get(number, score))
+                if len(found) >= limit:
+                    least = max(least, heapq.nlargest(limit, found.values())[-1])
+        rows += [(q, number, score) for number, score in heapq.nsmallest(limit, found.items(), key=lambda x: (-x[1], x[0]))]
+    return pd.DataFrame(rows, columns=columns)
+
+
 def find_documents(documents: DataFrame, asked: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:
-    """What is asked by number goes by number; by name goes by likeness of the names (Python scores only names that share a word's start)."""
-    by_number = asked.where("number is not null").withColumn("so_hieu", number_slug(F.col("number"))).join(documents, "so_hieu").select("qid", "so_hieu", F.lit(1.0).alias("score"))
-    heads = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) > 3))
-    named = asked.where("number is null and name is not null").select("qid", "name", F.explode(heads(F.col("name"))).alias("w"))
-    held = documents.select("so_hieu", "ten_van_ban", F.explode(heads(F.col("ten_van_ban"))).alias("w"))
-    pairs = named.join(held, "w").groupBy("qid", "name", "so_hieu", "ten_van_ban").agg(F.count("*").alias("common"))
-    best = Window.partitionBy("qid").orderBy(F.desc("common"), "so_hieu")
-    near = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 20 * limit)
-    scored = near.withColumn("score", F.round(fuzzy_score("name", "ten_van_ban"), 6)).where(F.col("score") >= threshold)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "so_hieu")
-    by_name = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("qid", "so_hieu", "score")
-    return by_number.unionByName(by_name)
+    """What is asked by number goes by number; by name goes by likeness to all names, each document at its likest name."""
+    spark = documents.sparkSession
+    by_number = asked.where("number is not null").withColumn("so_hieu", number_slug(F.col("number"))).join(documents, "so_hieu").select("qid", "so_hieu", F.lit(1.0).alias("score")).distinct()
+    named = settled(asked.where("number is null and name is not null").select("qid", strip_marks(F.col("name")).alias("q")))
+    # documents of names that fold to the same text are equally like: the first of them are enough
+    held = documents.where("so_hieu is not null and ten_van_ban is not null").select("so_hieu", strip_marks(F.col("ten_van_ban")).alias("plain")).distinct()
+    first = held.withColumn("place", F.row_number().over(Window.partitionBy("plain").orderBy("so_hieu"))).where(F.col("place") <= limit)
+    names = settled(first.groupBy("plain").agg(F.collect_list("so_hieu").alias("numbers")))
+    texts = named.select("q").distinct()
+    # every part of the asked texts meets every part of the names
+    n_texts, cores = texts.count(), spark.sparkContext.defaultParallelism
+    shards = max(1, -(-names.count() // NAMES_A_TASK))
+    parts = max(1, -(-n_texts // TEXTS_A_TASK), min(n_texts, -(-4 * cores // shards)))
+    cells = shards * parts
+    left = texts.select("q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).select("q", (F.pmod(F.xxhash64("q"), F.lit(parts)) * shards + F.col("s")).alias("cell"))
+    right = names.select("plain", "numbers", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p")).select("plain", "numbers", (F.col("p") * shards + F.pmod(F.xxhash64("plain"), F.lit(shards))).alias("cell"))
+    near = left.repartition(cells, "cell").groupBy("cell").cogroup(right.repartition(cells, "cell").groupBy("cell")).applyInPandas(lambda a, b: _likest(a, b, threshold, limit), "q string, so_hieu string, score double")
+    best = near.groupBy("q", "so_hieu").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "so_hieu")
+    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return by_number.unionByName(named.join(best, "q").select("qid", "so_hieu", "score").distinct())
 
 
 def relation_report(relations: DataFrame, documents: DataFrame) -> DataFrame:

@@ -89,3 +89,27 @@ def test_streaming(spark, tmp_path):
     ingest(content_stream(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
     ids = {r["id"] for r in spark.read.parquet(str(tmp_path / "store")).collect()}
     assert ids == {"1.dieu_1", "1.dieu_1.khoan_1"}
+
+
+def test_find_documents_scores_all_names(spark, monkeypatch):
+    """Against brute force, over names of short and unaccented words and more than 200 that share the commonest ones."""
+    import difflib
+    import random
+
+    from docweave.functions.text import fold
+
+    monkeypatch.setattr(R, "NAMES_A_TASK", 150)
+    rng = random.Random(3)
+    words = "luật về tài sản công của bộ y tế xã hồ sơ đê thu phí quỹ đất rừng".split()
+    docs = [(f"{k % 380}_x", " ".join(rng.choices(words, k=rng.randint(3, 7))).title()) for k in range(400)] + [("z_1", "Luật Quản lý hồ sơ và tài sản công"), ("z_2", "Y tế xã"), (None, "Y tế xã"), ("z_3", None), ("z_4", "--")]
+    asked = [("a", "luat quan ly ho so va tai san cong"), ("b", "y te xa"), ("c", "thu phí quỹ đất"), ("d", "BO Y TE"), ("e", "qqqq"), ("f", "y tế xã"), ("g", "")]
+    got = R.find_documents(spark.createDataFrame(docs, "so_hieu string, ten_van_ban string"), spark.createDataFrame([*((q, None, n) for q, n in asked), ("n", "Z/2", None)], "qid string, number string, name string")).collect()
+    want = {("n", "z_2", 1.0)}
+    for q, n in asked:
+        best: dict = {}
+        for number, name in docs:
+            if number and name and fold(n) and fold(name) and (score := round(difflib.SequenceMatcher(None, fold(n), fold(name)).ratio(), 6)) >= 0.5:
+                best[number] = max(score, best.get(number, 0))
+        want |= {(q, number, score) for number, score in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert ("a", "z_1", 1.0) in want and ("b", "z_2", 1.0) in want
