@@ -17,6 +17,8 @@ from docweave.runtime import settled
 
 #: Names and asked texts that meet in one task of a likeness search at most.
 NAMES_A_TASK, TEXTS_A_TASK = 50_000, 2000
+#: Characters of the pieces by which a search within names finds its candidates.
+GRAM = 6
 
 # Relation types, folder types in the order they are tried, and the relation a folder's documents have to a law.
 RELATION_TYPES = ("huong_dan_thi_hanh", "sua_doi_bo_sung", "thay_the", "bai_bo", "dinh_chi_hieu_luc", "tam_thoi_ap_dung", "giai_thich", "lien_quan", "tham_chieu", "can_cu")
@@ -54,11 +56,26 @@ def find_by_number(documents: DataFrame, number: str) -> DataFrame:
 def search_name(documents: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
     """D3: documents whose name holds the asked text, whatever the case: ``qid, so_hieu``, the first by key.
 
-    Case folding makes the ladder of spellings a single step.  The few asked texts (bounded by the caller) meet the names in one scan.
+    Case folding makes the ladder of spellings a single step.  A name that holds a text holds its pieces of GRAM characters, so the two are joined on the text's rarest
+    piece and then compared; texts shorter than that meet all names.
     """
-    met = documents.join(F.broadcast(asked), F.contains(F.lower("ten_van_ban"), F.lower("name")))
+    texts = asked.where("name is not null").select("qid", F.lower("name").alias("text"))
+    names = settled(documents.where("ten_van_ban is not null").select("so_hieu", F.lower("ten_van_ban").alias("low")).distinct())
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - GRAM + 1), lambda i: F.substr(F.col(c), i, F.lit(GRAM))))
+    long = settled(texts.where(F.char_length("text") >= GRAM).select("text").distinct())
+    of_text = long.select("text", F.explode(grams("text")).alias("gram"))
+    of_name = names.where(F.char_length("low") >= GRAM).select("low").distinct().select("low", F.explode(grams("low")).alias("gram"))
+    held = settled(of_name.join(of_text.select("gram").distinct(), "gram", "left_semi"))
+    held_by = of_text.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = held_by.groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    met = rarest.join(held, "gram").where(F.contains("low", "text")).select("text", "low")
+    short = texts.where(F.char_length("text") < GRAM).select("text").distinct().join(names.select("low").distinct(), F.contains("low", "text")).select("text", "low")
+    # of the documents of one text the first are enough, so texts that are asked again and again don't multiply them
+    found = met.unionByName(short).join(names, "low").select("text", "so_hieu").distinct()
+    best = found.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy("so_hieu"))).where(F.col("place") <= limit)
+    met_by = texts.join(best, "text").select("qid", "so_hieu").distinct()
     order = Window.partitionBy("qid").orderBy("so_hieu")
-    return met.select("qid", "so_hieu").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
+    return met_by.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
 
 
 def like_field(documents: DataFrame, field: str, part: str, limit: int = 10) -> DataFrame:

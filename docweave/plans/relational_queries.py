@@ -33,6 +33,22 @@ def name_search_ladder(spark, folder):
     return R.search_name(_meta(spark, folder).select("so_hieu", "ten_van_ban"), asked, 10)
 
 
+def _titles(spark, folder):
+    """The names of every row whose id is divisible by 20."""
+    return _meta(spark, folder).where("id % 20 = 0 and ten_van_ban is not null").select(F.col("id").alias("qid"), F.col("ten_van_ban").alias("name")).distinct()
+
+
+def name_search_titles(spark, folder):
+    """Which documents' names hold the name of each asked row."""
+    return R.search_name(_meta(spark, folder).select("so_hieu", "ten_van_ban"), _titles(spark, folder), 10)
+
+
+def number_search(spark, folder):
+    """Documents by the number of each row whose id is divisible by 20."""
+    asked = _meta(spark, folder).where("id % 20 = 0 and so_hieu is not null").select(F.col("id").alias("qid"), F.col("so_hieu").alias("number"), F.lit(None).cast("string").alias("name")).distinct()
+    return R.find_documents(_meta(spark, folder).select("so_hieu", F.lit(None).cast("string").alias("ten_van_ban")).distinct(), asked).select("qid", "so_hieu")
+
+
 def field_search(spark, folder):
     return R.like_field(_meta(spark, folder).where("trang_thai = 1").select("so_hieu", "linh_vuc").distinct(), "linh_vuc", "Lưu trữ", 100)
 
@@ -42,7 +58,9 @@ def metadata_page(spark, folder):
 
 
 def metadata_fuzzy_search(spark, folder):
-    asked = spark.createDataFrame([(1, "9/2016/L-HNQG", None), (2, None, "luat quan ly ho so va tai san cong"), (3, None, "thi diem co che thiet bi do luong nam 2014")], "qid int, number string, name string")
+    """Three written questions, and the names of every row whose id is divisible by 20."""
+    asked = spark.createDataFrame([(1, "9/2016/L-HNQG", None), (2, None, "luat quan ly ho so va tai san cong"), (3, None, "thi diem co che thiet bi do luong nam 2014")], "qid long, number string, name string")
+    asked = asked.unionByName(_titles(spark, folder).select("qid", F.lit(None).cast("string").alias("number"), "name"))
     return R.find_documents(_meta(spark, folder).where("ten_van_ban is not null").select("so_hieu", "ten_van_ban").distinct(), asked)
 
 
@@ -130,7 +148,7 @@ def metadata_stats(spark, folder):
 
 
 _NAMES = (
-    "metadata_upsert find_by_number name_search_ladder field_search metadata_page metadata_fuzzy_search relations_by_entity relation_report relation_save_idempotent relation_delete_triple relation_stats folder_types relation_build "
+    "metadata_upsert find_by_number number_search name_search_ladder name_search_titles field_search metadata_page metadata_fuzzy_search relations_by_entity relation_report relation_save_idempotent relation_delete_triple relation_stats folder_types relation_build "
     "deactivate_cascade replace_workflow backfill_default resync_first_better agency_distribution agency_filter corpus_filter_join metadata_stats"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
@@ -143,6 +161,7 @@ SQL = {
     "metadata_upsert": "SELECT DISTINCT so_hieu, id, created_at FROM document_metadata WHERE so_hieu IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY so_hieu ORDER BY created_at DESC, id DESC) = 1",
     "find_by_number": "SELECT DISTINCT id, so_hieu FROM document_metadata WHERE so_hieu = '9_2016_l-hnqg'",
     "name_search_ladder": "WITH q AS (SELECT * FROM (VALUES (1, 'nguồn nước'), (2, 'lễ hội'), (3, 'không có tên này')) v(qid, name)), m AS (SELECT DISTINCT qid, so_hieu FROM document_metadata JOIN q ON contains(lower(ten_van_ban), name)) SELECT qid, so_hieu FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY so_hieu) <= 10",
+    "name_search_titles": "WITH q AS (SELECT DISTINCT id AS qid, lower(ten_van_ban) AS name FROM document_metadata WHERE id % 20 = 0 AND ten_van_ban IS NOT NULL), m AS (SELECT DISTINCT qid, so_hieu FROM (SELECT DISTINCT so_hieu, lower(ten_van_ban) AS low FROM document_metadata) JOIN q ON contains(low, name)) SELECT qid, so_hieu FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY so_hieu NULLS FIRST) <= 10",
     "field_search": "SELECT DISTINCT so_hieu, linh_vuc FROM document_metadata WHERE trang_thai = 1 AND contains(lower(linh_vuc), 'lưu trữ') ORDER BY so_hieu LIMIT 100",
     "metadata_page": "SELECT so_hieu FROM (SELECT DISTINCT so_hieu FROM document_metadata) ORDER BY so_hieu NULLS FIRST LIMIT 50 OFFSET 100",
     "relations_by_entity": _ENDS + "SELECT * FROM e WHERE entity IS NOT NULL",

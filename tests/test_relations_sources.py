@@ -113,3 +113,31 @@ def test_find_documents_scores_all_names(spark, monkeypatch):
         want |= {(q, number, score) for number, score in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert ("a", "z_1", 1.0) in want and ("b", "z_2", 1.0) in want
+
+
+def test_search_name_of_many_texts(spark):
+    """Against brute force, without a nested loop for texts that have a piece to join on."""
+    import random
+
+    rng = random.Random(4)
+    words = "Luật về Tài sản công của Bộ Y tế 50% a_b".split()
+    docs = [(None if k == 7 else f"{k % 90}_x", " ".join(rng.choices(words, k=rng.randint(1, 6)))) for k in range(120)] + [("n_1", None), ("n_2", "")]
+    asked = [(k, n) for k, (_, n) in enumerate(docs[::4])] + [(90, "TÀI SẢN"), (91, "y"), (92, "50%"), (93, "không có tên này"), (94, None), (90, "y tế")]
+    found = R.search_name(spark.createDataFrame(docs, "so_hieu string, ten_van_ban string"), spark.createDataFrame(asked, "qid int, name string"), 10)
+    want: dict = {}
+    for q, n in asked:
+        for number, name in docs:
+            if n is not None and name is not None and n.lower() in name.lower():
+                want.setdefault(q, set()).add(number)
+    want = {(q, number) for q, numbers in want.items() for number in sorted(numbers, key=lambda x: (x is not None, x or ""))[:10]}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_searches_ask_every_twentieth_row(spark, tmp_path):
+    from docweave.plans.relational_queries import QUERIES
+
+    rows = [(k, f"{k}_x", f"Quy định thứ {chr(97 + k % 26)}{k}") for k in range(1, 101)]
+    spark.createDataFrame(rows, "id long, so_hieu string, ten_van_ban string").write.parquet(str(tmp_path / "document_metadata.parquet"))
+    for name in ("name_search_titles", "number_search", "metadata_fuzzy_search"):
+        got = {(r["qid"], r["so_hieu"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert {(k, f"{k}_x") for k in (20, 40, 60, 80, 100)} <= got
