@@ -266,8 +266,8 @@ def embedding_text(kind: Column, context: Column, title: Column, content: Column
 
 
 def too_long(rows: DataFrame, text: str, key: str, group: str, most: int) -> DataFrame:
-    """Per group, how many texts have more than ``most`` words, and the first 20 of their keys in order."""
-    long = rows.where(F.size(F.split(F.trim(F.col(text)), r"\s+")) > most)
-    order = Window.partitionBy(group).orderBy(key)
-    ranked = long.withColumn("n", F.count("*").over(Window.partitionBy(group))).withColumn("place", F.row_number().over(order)).where("place <= 20")
-    return ranked.groupBy(group).agg(F.first("n").alias("n_long"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("first_keys"))
+    """A row for every text of more than ``most`` words, with their number and how many such texts its group has."""
+    words = F.size(F.split(F.trim(F.col(text)), r"\s+"))
+    long = rows.select(group, key, words.alias("n_words")).where(F.col("n_words") > most)
+    n = long.groupBy(group).agg(F.count("*").alias("n_long"))
+    return long.join(n.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).select(group, key, "n_words", "n_long")

@@ -104,3 +104,9 @@ def test_metadata(spark):
     assert (b["loai"], b["so_hieu"], b["co_quan_ban_hanh"], b["ngay_ban_hanh"], b["ngay_co_hieu_luc"]) == ("thong_tu", "5_2018_tt-byt", "Bộ Y Tế", "03/02/2018", "03/02/2018")
     assert (c["loai"], c["so_hieu"], c["ten_van_ban"]) == ("bo_luat", "7_vbhn-vpqh", "BỘ LUẬT LAO TÁC")
     assert (d["loai"], d["so_hieu"], d["so_dieu"]) == ("unknown", "", 0) and e["loai"] is None
+
+
+def test_every_long_text_is_named(spark):
+    rows = [(f"a.{k}", "từ " * (5 + k % 2), "a") for k in range(70)] + [("b.1", "một hai", "b"), ("c.1", " x  y\nz u v w ", "c"), ("n", "1 2 3 4 5 6", None)]
+    got = S.too_long(spark.createDataFrame(rows, "id string, content string, doc string"), "content", "id", "doc", 5).collect()
+    assert {tuple(r) for r in got} == {*(("a", f"a.{k}", 6, 35) for k in range(1, 70, 2)), ("c", "c.1", 6, 1), (None, "n", 6, 1)} and len(got) == 37
