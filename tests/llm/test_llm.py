@@ -300,7 +300,7 @@ def test_levels_on_held_out_rows(spark):
     vi = F.col("lang") == "vi"
     got = reading.estimate_levels(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), labels.where(~held), vi & (F.col("n_chars") >= 300), graded_where=vi)
     both = got.join(labels.where(held).select("doc_id", F.col("level").alias("truth")).distinct(), "doc_id").collect()
-    assert len(both) > 150 and np.mean([r["level"] == r["truth"] for r in both]) > 0.75 and np.mean([abs(r["level"] - r["truth"]) <= 1 for r in both]) > 0.97
+    assert len(both) > 150 and np.mean([r["level"] == r["truth"] for r in both]) > 0.84 and np.mean([abs(r["level"] - r["truth"]) <= 1 for r in both]) > 0.97
 
 
 def test_level_cases(spark):
