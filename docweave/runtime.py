@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,24 +21,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is named (tests, local runs)."""
+    """The folder for this application's intermediate tables, in the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Without that setting a temporary folder is used where all tasks run in this process's machine (``local``); on a cluster it's an error, since each executor
+    would write to a disk of its own and rows would be missing without notice.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; master is {master}")
         own = tempfile.mkdtemp(prefix="docweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = Path(own).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder.rstrip('/')}/docweave-{spark.sparkContext.applicationId}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and the rows outlive any executor."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and the rows outlive any executor.  ``clean`` deletes what was written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/docweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; for its end, when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to be small enough, else as it is (Spark then shuffles)."""
     rows = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
