@@ -13,6 +13,7 @@ from docweave.functions import text as X
 from docweave.operators import agent as A
 from docweave.operators import citations as C
 from docweave.operators import metadata as M
+from docweave.operators import references as N
 from docweave.operators import structure as S
 from docweave.operators.hierarchy import hierarchy
 from docweave.plans.vector_queries import _near, store
@@ -157,18 +158,18 @@ def length_guard(spark, folder):
 
 
 def ref_candidates(spark, folder):
-    rows = _contents(spark, folder).select("id", C.sentences(F.col("content")).alias("all"), C.candidate_sentences(F.col("content")).alias("some"))
+    rows = _contents(spark, folder).select("id", N.sentences(F.col("content")).alias("all"), N.candidate_sentences(F.col("content")).alias("some"))
     return rows.select("id", F.size("all").alias("n_sentences"), F.size("some").alias("n_candidates"))
 
 
 def ref_extract(spark, folder):
     rows = _contents(spark, folder).withColumn("doc", P.document_of(F.col("id")))
-    return C.references(rows, "id", "content", "doc")
+    return N.references(rows, "id", "content", "doc")
 
 
 def ref_ranges(spark, folder):
     rows = spark.createDataFrame([(1, "từ Điều 3 đến Điều 6 và từ các điều 5 đến 8"), (2, "từ Điều 9 đến Điều 2"), (3, "Điều 1")], "id int, text string")
-    return rows.select("id", F.explode(C.article_ranges(F.col("text"))).alias("article"))
+    return rows.select("id", F.explode(N.article_ranges(F.col("text"))).alias("article"))
 
 
 def ref_expand(spark, folder):

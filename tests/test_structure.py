@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import citations as C
 from docweave.operators import metadata as M
+from docweave.operators import references as N
 from docweave.operators import structure as S
 
 LAW = """QUỐC HỘI
@@ -68,7 +69,7 @@ def test_pieces(spark):
 
 
 def test_references():
-    f = C.find_references
+    f = N.find_references
     assert f("Khoản 1 Điều 31 Luật số 28/2023/QH15 về tài nguyên nước") == ["28_2023_qh15.dieu_31.khoan_1"]
     assert f("Theo Điều 100 Luật Đất đai, mọi người") == ["luat_dat_dai.dieu_100"]
     own = {"luat": "1_2020_l", "dieu": "1_2020_l.dieu_1", "khoan": "1_2020_l.dieu_1.khoan_2"}
@@ -76,7 +77,11 @@ def test_references():
     assert f("theo khoản 3 và khoản này", own) == ["1_2020_l.dieu_1.khoan_3"]
     assert f("từ Điều 7 đến Điều 9", own)[:3] == ["1_2020_l.dieu_7", "1_2020_l.dieu_8", "1_2020_l.dieu_9"]
     assert f("một phần này", {**own, "phan": "1_2020_l.phan_1"}) == [] and f(None) == [] and f("") == []
-    assert C.listed("khoan", "các khoản 1, 2 và 3") == ["1", "2", "3"]
+    assert f("Mục 2 Chương IV và từ khoản 2 đến khoản 4 Điều 9 của Nghị định số 5/2019/NĐ-CP") == [f"5_2019_nd-cp.{x}" for x in ("chuong_iv.muc_2", "chuong_iv", "dieu_9.khoan_2", "dieu_9.khoan_3", "dieu_9.khoan_4")]
+    assert f("Luật Đất đai quy định. Điều 3 thì khác") == ["luat_dat_dai_quy_dinh.dieu_3"] and f("theo Luật Thủy lợi năm 2017 của nước ta, khoản 1 Điều 8") == ["luat_thuy_loi_2017.dieu_8.khoan_1"]
+    assert f("điểm này và điểm đi", {**own, "diem": "1_2020_l.dieu_1.diem_c"}) == ["1_2020_l.dieu_1.diem_c"]
+    assert f("Khoản 1. " + "x " * 200 + "Điều 4") == ["dieu_4"]  # more than 300 characters before
+    assert N.listed("khoan", "các khoản 1, 2 và 3") == ["1", "2", "3"]
 
 
 def test_reference_choice(spark):
@@ -110,3 +115,16 @@ def test_every_long_text_is_named(spark):
     rows = [(f"a.{k}", "từ " * (5 + k % 2), "a") for k in range(70)] + [("b.1", "một hai", "b"), ("c.1", " x  y\nz u v w ", "c"), ("n", "1 2 3 4 5 6", None)]
     got = S.too_long(spark.createDataFrame(rows, "id string, content string, doc string"), "content", "id", "doc", 5).collect()
     assert {tuple(r) for r in got} == {*(("a", f"a.{k}", 6, 35) for k in range(1, 70, 2)), ("c", "c.1", 6, 1), (None, "n", 6, 1)} and len(got) == 37
+
+
+def test_nearest_places(spark):
+    import random
+
+    rng = random.Random(2)
+    asked = [(k % 5, rng.randint(0, 300)) for k in range(200)]
+    places = sorted({(k % 4, rng.randint(0, 300)) for k in range(40)})
+    got = N.nearest_places(spark.createDataFrame(asked, "doc int, at int"), spark.createDataFrame(places, "doc int, place int"), "doc").collect()
+    want = [(d, at, min((abs(p - at), p) for e, p in places if e == d)[1] if d < 4 else None) for d, at in asked]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    row = spark.createDataFrame([("Luật A, luật b; LUẬT",), ("không",), ("",), (None,)], "t string")
+    assert [r["p"] for r in row.select(N.positions(F.col("t"), "luật").alias("p")).collect()] == [[0, 8, 16], [], [], None]
