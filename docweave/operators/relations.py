@@ -33,7 +33,13 @@ KEPT_BODIES = (
     "uỷ ban thường vụ quốc hội", "ủy ban thường vụ quốc hội", "chủ tịch nước", "tòa án nhân dân tối cao", "toà án nhân dân tối cao", "viện kiểm sát nhân dân tối cao",
 )
 KEPT_PREFIXES = ("bộ ", "uỷ ban nhân dân", "ủy ban nhân dân", "hội đồng nhân dân", "hội đồng bộ trưởng", "hội đồng chính phủ", "hội đồng nhà nước", "chủ tịch hội đồng bộ trưởng")
-DROPPED_PREFIXES = ("ban ", "cục ", "tổng cục ", "chi cục ", "sở ", "văn phòng ")
+# What else is left out, as (test, text, what is kept all the same as (test, texts)).
+DROPPED = (
+    ("starts", "ban ", None), ("starts", "cục ", None), ("starts", "tổng cục ", None), ("starts", "chi cục ", None), ("starts", "sở ", None), ("starts", "văn phòng ", None),
+    ("holds", "mặt trận", None), ("holds", "đoàn", None), ("holds", "hội", ("holds", ("hội đồng nhân dân", "quốc hội"))), ("starts", "ngân hàng ", ("is", ("ngân hàng nhà nước", "ngân hàng nhà nước việt nam"))),
+    ("holds", "triều tiên", None), ("holds", "cộng hoà xã hội chủ nghĩa việt nam", None),
+)
+_TESTS = {"starts": F.startswith, "holds": F.contains, "is": lambda value, text: value == text}
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -249,11 +255,9 @@ def kept_bodies(values: DataFrame, column: str, least: int = 20) -> DataFrame:
     """Issuing bodies by how many documents they have, without the bodies that aren't wanted, more than ``least``, most first."""
     counts = values.where(F.col(column).isNotNull()).groupBy(F.lower(F.trim(F.col(column))).alias("body")).agg(F.count("*").alias("n"))
     b = F.col("body")
-    kept = b.isin(*KEPT_BODIES) | _any([F.startswith(b, F.lit(p)) for p in KEPT_PREFIXES])
-    noise = _any([F.startswith(b, F.lit(p)) for p in DROPPED_PREFIXES]) | F.contains(b, F.lit("mặt trận")) | F.contains(b, F.lit("đoàn"))
-    noise = noise | (F.contains(b, F.lit("hội")) & ~(F.contains(b, F.lit("hội đồng nhân dân")) | F.contains(b, F.lit("quốc hội"))))
-    noise = noise | (F.startswith(b, F.lit("ngân hàng ")) & ~b.isin("ngân hàng nhà nước", "ngân hàng nhà nước việt nam"))
-    noise = noise | F.contains(b, F.lit("triều tiên")) | F.contains(b, F.lit("cộng hoà xã hội chủ nghĩa việt nam"))
+    told = lambda test, texts: _any([_TESTS[test](b, F.lit(t)) for t in texts])
+    kept = told("is", KEPT_BODIES) | told("starts", KEPT_PREFIXES)
+    noise = _any([told(test, [text]) & (~told(*but) if but else F.lit(True)) for test, text, but in DROPPED])
     return counts.where(kept & ~noise & (F.col("n") > least)).orderBy(F.desc("n"), "body")
 
 

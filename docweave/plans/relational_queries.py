@@ -179,6 +179,6 @@ SQL = {
     "corpus_filter_join": "WITH m AS (SELECT id, any_value(so_hieu) AS so_hieu FROM document_metadata WHERE lower(trim(co_quan_ban_hanh)) IN ('hội đồng nhân dân tỉnh thanh vĩ', 'bộ môi sinh và khí tượng') GROUP BY id) SELECT id, so_hieu, length(content_html)::INT AS n_chars FROM (SELECT DISTINCT * FROM document_content) JOIN m USING (id) WHERE content_html IS NOT NULL",
     "metadata_stats": "SELECT count(*) AS total, count(*) FILTER (indexed = 1) AS indexed FROM (SELECT DISTINCT id, indexed FROM document_metadata)",
     "agency_filter": f"""WITH c AS (SELECT lower(trim(co_quan_ban_hanh)) AS body, count(*) AS n FROM (SELECT DISTINCT id, co_quan_ban_hanh FROM document_metadata WHERE co_quan_ban_hanh IS NOT NULL) GROUP BY 1)
-SELECT body, n FROM c WHERE n > 5 AND (body IN ({_list(R.KEPT_BODIES)}) OR list_bool_or([starts_with(body, p) FOR p IN [{_list(R.KEPT_PREFIXES)}]])) AND NOT list_bool_or([starts_with(body, p) FOR p IN [{_list(R.DROPPED_PREFIXES)}]])
+SELECT body, n FROM c WHERE n > 5 AND (body IN ({_list(R.KEPT_BODIES)}) OR list_bool_or([starts_with(body, p) FOR p IN [{_list(R.KEPT_PREFIXES)}]])) AND NOT list_bool_or([starts_with(body, p) FOR p IN ['ban ', 'cục ', 'tổng cục ', 'chi cục ', 'sở ', 'văn phòng ']])
 AND NOT contains(body, 'mặt trận') AND NOT contains(body, 'đoàn') AND NOT (contains(body, 'hội') AND NOT (contains(body, 'hội đồng nhân dân') OR contains(body, 'quốc hội')))""",
 }

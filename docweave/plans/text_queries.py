@@ -1,6 +1,6 @@
 """Queries of the text, metadata, structure, citation, context and question-answering operators.
 
-Whole tables where the tables hold such text; extraction from a document's head runs over HEADS, since no table has heads.
+Over whole tables; invented texts only where no table holds any (model answers).
 """
 
 from __future__ import annotations
@@ -19,14 +19,6 @@ from docweave.operators.hierarchy import hierarchy
 from docweave.plans.vector_queries import _near, store
 from docweave.runtime import spread, table
 
-#: Invented document heads.
-HEADS = (
-    (1, "QUỐC HỘI\nCỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM\nLuật số: 12/2021/QH15\nLUẬT\nTÀI SẢN CÔNG\nCăn cứ Hiến pháp;\nĐiều 1. Phạm vi\nĐiều 2. Hiệu lực thi hành\nLuật này có hiệu lực thi hành từ ngày 1 tháng 7 năm 2022.\nLuật này được thông qua ngày 5 tháng 11 năm 2021."),
-    (2, "BỘ Y TẾ\nSố: 5/2018/TT-BYT\nHà Nội, ngày 3 tháng 2 năm 2018\nTHÔNG TƯ\nQuy định về kho dược liệu\nĐiều 1. Phạm vi\n1. Kho.\nĐiều 2. Tổ chức thực hiện\nThông tư này có hiệu lực kể từ ngày ký."),
-    (3, "Số 7/VBHN-VPQH\nBỘ LUẬT\nLAO TÁC\nPHẦN THỨ NHẤT\nĐiều 1. Chung"),
-    (4, "không có gì ở đây"),
-    (5, None),
-)
 #: Invented model answers.
 ANSWERS = (
     (1, "Đáp án: B"), (2, "C"), (3, "Tôi chọn [D] vì ..."), (4, "<output>A</output>"), (5, "không rõ"), (6, ""), (7, None),
@@ -41,10 +33,6 @@ def _contents(spark, folder):
     return _nodes(spark, folder).where("content is not null").select("id", "content").distinct()
 
 
-def _heads(spark):
-    return spark.createDataFrame(HEADS, "id int, text string")
-
-
 def clean_text(spark, folder):
     rows = table(spark, folder, "document_content").where("content_html is not null").distinct()
     return rows.select("id", X.clean_text(F.col("content_html")).alias("text"))
@@ -102,7 +90,9 @@ def json_recovered(spark, folder):
 
 
 def document_heads(spark, folder):
-    return M.extract(_heads(spark), "text").drop("text")
+    """M1-M8 of the text of every record's content."""
+    rows = spread(table(spark, folder, "document_content").where("content_html is not null")).distinct()
+    return M.extract(rows.select("id", X.html_text(F.col("content_html")).alias("text")), "text").drop("text")
 
 
 def article_counts(spark, folder):
@@ -181,6 +171,13 @@ def ref_expand(spark, folder):
     return C.chosen_references(scored).select("main", "ref", "score", "rank")
 
 
+def nearest_law(spark, folder):
+    """For each article a node's text mentions the nearest place where it mentions a law."""
+    rows = _contents(spark, folder)
+    at = lambda word, name: rows.select("id", F.explode(N.positions(F.col("content"), word)).alias(name))
+    return N.nearest_places(at("điều ", "at").distinct(), at("luật", "place").distinct(), "id").withColumnRenamed("at", "pos")
+
+
 def reference_lists(spark, folder):
     rows = _nodes(spark, folder).where("size(reference) > 0").select("id", "reference").distinct()
     return rows.select("id", F.explode(C.normal_list(F.col("reference"))).alias("ref")).select("id", "ref", C.valid_id(F.col("ref")).alias("valid"))
@@ -230,7 +227,7 @@ def section_search(spark, folder):
 
 _NAMES = (
     "clean_text html_to_text normalize_titles strip_diacritics slug_id to_roman number_words fuzzy_name_match answer_letter json_props json_recovered document_heads article_counts heading_parse structure_tree parent_context dup_suffix "
-    "fixed_chunks word_window_split chunk_type_histogram embedding_texts length_guard ref_candidates ref_extract ref_ranges ref_expand reference_lists context_blocks citations cross_branch_dedup intent_route_merge section_search"
+    "fixed_chunks word_window_split chunk_type_histogram embedding_texts length_guard ref_candidates ref_extract nearest_law ref_ranges ref_expand reference_lists context_blocks citations cross_branch_dedup intent_route_merge section_search"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -239,9 +236,17 @@ _HEADING = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for
 _HEADING_ID = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN " + (f"lower(regexp_extract(line, '{p}', 1))" if "(" in p.replace("(?", "") else "''") for k, p in S.HEADINGS) + " END"
 
 
+# The steps of T1 one by one, as SQL replaces them.
+_CLEANING = (
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"<!--[\s\S]*?-->", ""), (r"(?m)^#+\s+", ""), (r"(?m)^[ \t]*[-*+][ \t]+(\d)", "$1"), (r"(?m)^[ \t]*>[ \t]*", ""), (r"(?m)^[ \t]*\|?[-: |]+\|?[ \t]*$", ""), (r"\|", ""),
+    (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"__(.*?)__", "$1"), (r"_(.*?)_", "$1"), (r"<[^>]+>", ""), ("\u00a0", " "), (r"\\([\[\]<>.\-])", "$1"),
+    (r"\s+,", ","), (r"\s+\.", "."), (r",\.", "."), (r"[ \t]+", " "), (r"\n[ \t]*\n+", "\n\n"), (r"^\s+|\s+$", ""),
+)
+
+
 def _cleaned(column: str) -> str:
     out = column
-    for pattern, by in X._CLEANING:
+    for pattern, by in _CLEANING:
         out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern, by.replace("$1", "\\1"))
     return out
 
@@ -257,7 +262,9 @@ coalesce(nullif(regexp_extract(u, '(?s)<OUTPUT>\\s*([A-D])\\b', 1), ''), nullif(
 _LINES = "list_filter([upper(trim(x, ' ')) FOR x IN string_split(left(text, 3000), chr(10))], lambda x: x <> '' AND length(x) <= 50)"
 _KIND = "coalesce((list_filter([CASE " + " ".join(f"WHEN regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}_])" + w.replace(" ", "\\s+") + f"([^\\p{{L}}\\p{{N}}_]|$)') THEN '{c}'" for w, c in M.KINDS) + f" END FOR x IN {_LINES}], lambda c: c IS NOT NULL))[1], 'unknown')"
 
+_AT = "unnest(list_transform(range(1, len(string_split(c, '{0}'))), lambda k: length(array_to_string(string_split(c, '{0}')[1:k], '{0}'))))"
 SQL = {
+    "nearest_law": f"WITH n AS (SELECT DISTINCT id, lower(content) AS c FROM (SELECT DISTINCT id, content FROM document_node WHERE content IS NOT NULL)), a AS (SELECT DISTINCT id, {_AT.format('điều ')} AS pos FROM n), p AS (SELECT DISTINCT id, {_AT.format('luật')} AS place FROM n) SELECT a.id, pos::INT AS pos, arg_min(place, abs(place - pos) * 2 + CASE WHEN place > pos THEN 1 ELSE 0 END)::INT AS nearest FROM a LEFT JOIN p USING (id) GROUP BY a.id, pos",
     "normalize_titles": r"SELECT id, trim(regexp_replace(lower(ten_van_ban), '[^\p{L}\p{N}]+', ' ', 'g')) AS normal FROM (SELECT DISTINCT id, ten_van_ban FROM document_metadata)",
     "json_props": "SELECT (props->>'$.k')::INT AS k, count(*) AS n FROM events GROUP BY 1",
     "to_roman": "WITH n AS (SELECT DISTINCT regexp_extract(id, '\\.chuong_([^.]+)$', 1) AS n FROM document_node), v AS (SELECT n, try_cast(n AS INT) AS k FROM n WHERE n <> '') SELECT n, CASE WHEN k BETWEEN 1 AND 3999 THEN ['','m','mm','mmm'][k // 1000 + 1] || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][k // 100 % 10 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][k // 10 % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][k % 10 + 1] ELSE lower(n) END AS roman FROM v",
