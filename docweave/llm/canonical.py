@@ -14,9 +14,11 @@ repeated rows count once; an empty reference list gives -1 everywhere.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,21 +27,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.confusables import skeleton
+from docweave.runtime import settled
 
 #: Reference entries a tree holds at most, and entries of all lists that are handed to tasks inside a closure.
 SHARD_ENTRIES = 20_000
 
-# Written-out words of the abbreviations that stand for bodies, by the field they are used in.
-ABBREVIATIONS = {
-    "co_quan_ban_hanh": {"ubnd": "uy ban nhan dan", "hdnd": "hoi dong nhan dan", "ub": "uy ban", "hd": "hoi dong", "nd": "nhan dan", "t": "tinh", "tc": "tong cuc", "b": "bo"},
-    "loai": {},
-}
-# Words around a name that aren't part of it.
-LEADING = {"co_quan_ban_hanh": ("co quan",), "loai": ("loai", "loai van ban")}
-TRAILING = ("da ky",)
-LINK_WORD = "va"
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What is known about how the values of a field are typed, by field; all of it may be empty, then only the plain forms and the metric decide."""
+
+    #: Written-out words of abbreviations that stand within names.
+    abbreviations: dict[str, dict[str, str]] = dataclasses.field(default_factory=dict)
+    #: Words before a name, and after any name, that aren't part of it.
+    leading: dict[str, tuple[str, ...]] = dataclasses.field(default_factory=dict)
+    trailing: tuple[str, ...] = ()
+    #: First words of entries that may be left out or be typed last.
+    movable: dict[str, tuple[str, ...]] = dataclasses.field(default_factory=dict)
+    #: A word between words that counts for nothing.
+    link_word: str = ""
+
+    def __hash__(self) -> int:
+        return hash(repr(self))
+
+
+NOTHING_KNOWN = Vocabulary()
+#: For Vietnamese issuing bodies and kinds of documents.
+VOCABULARY = Vocabulary(
+    abbreviations={"co_quan_ban_hanh": {"ubnd": "uy ban nhan dan", "hdnd": "hoi dong nhan dan", "t cuc": "tong cuc", "ub": "uy ban", "hd": "hoi dong", "nd": "nhan dan", "t": "tinh", "tc": "tong cuc", "b": "bo"}},
+    leading={"co_quan_ban_hanh": ("co quan",), "loai": ("loai van ban", "loai")}, trailing=("da ky",), movable={"co_quan_ban_hanh": ("bo",)}, link_word="va",
+)
 #: Separators between two bodies in one value, strongest first.
 SEPARATORS = (r"[;|]+", r"\s+/\s+|/", r"\s+[-–—]\s+", r",|\+", r"\s+(?:va|&)\s+")
+#: Distinct values a task looks up, and numbers a distance table holds, at most (a single pair of very long texts may need more).
+VALUES_A_TASK, TABLE_CELLS = 5_000, 30_000_000
 
 
 def plain(text: str) -> str:
@@ -48,53 +70,55 @@ def plain(text: str) -> str:
     return re.sub(r"[^0-9a-z]+", " ", text).strip()
 
 
-def written_out(words: str, field: str) -> str:
-    """Abbreviations written out, link words and words around the name left out, a trailing ``bo`` moved to the front."""
-    for tail in TRAILING:
-        if words.endswith(" " + tail):
-            words = words[: -len(tail) - 1].strip()
-    for lead in LEADING.get(field, ()):
-        if words.startswith(lead + " "):
-            words = words[len(lead) + 1 :]
-            break
-    short = ABBREVIATIONS.get(field, {})
+def written_out(words: str, field: str, known: Vocabulary = VOCABULARY) -> str:
+    """Abbreviations written out, link words and words around the name left out, a movable word that was typed last moved to the front."""
+    words = _bare(words, field, known)
+    short = known.abbreviations.get(field, {})
+    if " " in words:
+        for several in (k for k in short if " " in k):
+            words = re.sub(rf"\b{several}\b", short[several], words)
+        words = " ".join(short.get(w, w) for w in words.split())
     parts = words.split()
-    if len(parts) > 1:
-        words = re.sub(r"\bt cuc\b", "tong cuc", words) if short else words
-        parts = words.split()
-        parts = " ".join(short.get(w, w) for w in parts).split()
-    if short and len(parts) > 1 and parts[-1] == "bo":
-        parts = ["bo", *parts[:-1]]
-    return " ".join(w for w in parts if w != LINK_WORD)
+    if len(parts) > 1 and parts[-1] in known.movable.get(field, ()):
+        parts = [parts[-1], *parts[:-1]]
+    return " ".join(w for w in parts if w != known.link_word)
 
 
-def forms(text: str, field: str) -> list[str]:
-    """The forms under which a value is looked up: as typed, and written out."""
+def _bare(words: str, field: str, known: Vocabulary) -> str:
+    """A value without the words around its name."""
+    for tail in known.trailing:
+        words = words.removesuffix(" " + tail).strip()
+    for lead in known.leading.get(field, ()):
+        if words.startswith(lead + " "):
+            return words[len(lead) + 1 :]
+    return words
+
+
+def _unlinked(words: str, known: Vocabulary) -> str:
+    return " ".join(w for w in words.split() if w != known.link_word)
+
+
+def forms(text: str, field: str, known: Vocabulary = VOCABULARY) -> list[str]:
+    """The forms under which a value is looked up: as typed, written out, and as a code."""
     words = plain(text)
     if not words:
         return []
-    found = [words, written_out(words, field)]
-    bare = " ".join(w for w in words.split() if w != LINK_WORD)
-    found.append(bare)
-    code = words
-    for tail in TRAILING:
-        code = code.removesuffix(" " + tail)
-    for lead in LEADING.get(field, ()):
-        code = code.removeprefix(lead + " ")
-    found.append("=" + code.replace(" ", ""))
+    found = [words, written_out(words, field, known), _unlinked(words, known), "=" + _bare(words, field, known).replace(" ", "")]
     return list(dict.fromkeys(f for f in found if f))
 
 
-def entry_forms(field: str, name: str | None, code: str | None, former: str | None) -> list[tuple[str, int]]:
+def entry_forms(field: str, name: str | None, code: str | None, former: str | None, known: Vocabulary = VOCABULARY) -> list[tuple[str, int]]:
     """(form, threshold) of a reference entry.  Codes are led by ``=`` and admit no edit."""
     out: dict[str, int] = {}
     for value in (name, former):
         if not value or not (words := plain(value)):
             continue
-        for form in (words, " ".join(w for w in words.split() if w != LINK_WORD)):
+        for form in (words, _unlinked(words, known)):
             out[form] = tolerance(form)
-            if field == "co_quan_ban_hanh" and form.startswith("bo "):
-                out.setdefault(form[3:], min(2, tolerance(form[3:])))
+            for lead in known.movable.get(field, ()):
+                if form.startswith(lead + " "):
+                    rest = form[len(lead) + 1 :]
+                    out.setdefault(rest, min(2, tolerance(rest)))
     if code and (words := plain(code)):
         out["=" + words.replace(" ", "")] = 0
     return list(out.items())
@@ -139,12 +163,15 @@ class Batch:
         """Unrestricted Damerau-Levenshtein distance of ``word`` to each of the rows (Lowrance and Wagner's recurrence, over all rows at once)."""
         lengths = self.lengths[rows]
         width = int(lengths.max(initial=0))
-        codes = self.codes[rows, :width]
         n, m = len(word), len(rows)
+        if m > 1 and (n + 2) * (width + 2) * m > TABLE_CELLS:
+            half = m // 2
+            return np.concatenate([self.distances(word, rows[:half]), self.distances(word, rows[half:])])
+        codes = self.codes[rows, :width]
         far = n + width + 1
-        table = np.full((n + 2, width + 2, m), far, np.int16)
-        table[1:, 1, :] = np.arange(n + 1, dtype=np.int16)[:, None]
-        table[1, 1:, :] = np.arange(width + 1, dtype=np.int16)[:, None]
+        table = np.full((n + 2, width + 2, m), far, np.int16 if far < 1 << 15 else np.int32)
+        table[1:, 1, :] = np.arange(n + 1)[:, None]
+        table[1, 1:, :] = np.arange(width + 1)[:, None]
         lane = np.arange(m)
         # seen[j] for each row: the last i at which word[i] equals the row's letter j
         seen = np.zeros((width, m), np.int64)
@@ -171,6 +198,7 @@ class BKTree:
         self.refs: list[list[tuple[int, int]]] = []
         self.children: list[dict[int, int]] = []
         self.reach: list[int] = []
+        self.longest = max((len(word) + limit for word, _, limit in entries), default=-1)
         for word, ref, limit in entries:
             self._add(word, ref, limit)
 
@@ -200,10 +228,12 @@ class BKTree:
     def within(self, values: list[str]) -> list[list[tuple[int, int]]]:
         """For each value all (ref, distance) within that entry's threshold."""
         out: list[list[tuple[int, int]]] = [[] for _ in values]
-        if not self.words or not values:
+        # a value is at least as far from an entry as their lengths are apart: whole texts typed into a field never reach the tables
+        asked = [k for k, v in enumerate(values) if len(v) <= self.longest]
+        if not self.words or not asked:
             return out
-        batch = Batch(values)
-        stack = [(0, np.arange(len(values)))]
+        batch = Batch([values[k] if len(values[k]) <= self.longest else "" for k in range(len(values))])
+        stack = [(0, np.array(asked))]
         while stack:
             node, rows = stack.pop()
             d = batch.distances(self.words[node], rows)
@@ -218,10 +248,10 @@ class BKTree:
 
 
 @lru_cache(8)
-def _trees(entries: tuple[tuple[str, int, str | None, str | None, str | None], ...]) -> dict[str, BKTree]:
+def _trees(entries: tuple[tuple[str, int, str | None, str | None, str | None], ...], known: Vocabulary) -> dict[str, BKTree]:
     by_field: dict[str, list[tuple[str, int, int]]] = {}
     for field, ref, name, code, former in entries:
-        for form, limit in entry_forms(field, name, code, former):
+        for form, limit in entry_forms(field, name, code, former, known):
             by_field.setdefault(field, []).append((form, ref, limit))
     return {field: BKTree(sorted(rows, key=lambda x: (-len(x[0]), x))) for field, rows in by_field.items()}
 
@@ -250,10 +280,10 @@ def pieces(value: str, field: str) -> list[list[str]]:
     return ways
 
 
-def match(values: list[str], field: str, tree: BKTree) -> dict[str, list[tuple[int, int]]]:
+def match(values: list[str], field: str, tree: BKTree, known: Vocabulary = VOCABULARY) -> dict[str, list[tuple[int, int]]]:
     """value -> (ref, distance) of what it names; an empty list where it names no entry of this tree."""
     out: dict[str, list[tuple[int, int]]] = {}
-    whole = _lookup(tree, {v: forms(v, field) for v in values})
+    whole = _lookup(tree, {v: forms(v, field, known) for v in values})
     rest = []
     for v in values:
         if whole[v]:
@@ -264,16 +294,16 @@ def match(values: list[str], field: str, tree: BKTree) -> dict[str, list[tuple[i
             rest.append(v)
     ways = {v: pieces(v, field) for v in rest}
     parts = sorted({p for ws in ways.values() for w in ws for p in w})
-    known = _lookup(tree, {p: forms(p, field) for p in parts})
+    hits = _lookup(tree, {p: forms(p, field, known) for p in parts})
     for v in rest:
         for way in ways[v]:
-            if all(known[p] for p in way):
-                out[v] = sorted({(known[p][0][1], known[p][0][0]) for p in way})
+            if all(hits[p] for p in way):
+                out[v] = sorted({(hits[p][0][1], hits[p][0][0]) for p in way})
                 break
     return out
 
 
-def map_to_canonical(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def map_to_canonical(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES, known: Vocabulary = VOCABULARY) -> DataFrame:
     """``values(id, field, value)`` -> ``id, field, value, ref_id, distance``.
 
     Only distinct values meet the tree; typed copies are joined back, so a value that fills a third of all rows is looked up once.  The reference list is
@@ -285,28 +315,30 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, shard_entries: int
     n_ref = reference.count()
     n_shards = max(1, -(-n_ref // shard_entries))
     asked = asked.join(F.broadcast(exact) if n_shards == 1 else exact, ["field", "value"], "left_anti")
-    # no finer partitions than the shuffle leaves: a node's distance table costs about the same for 10 values as for 1000
-    distinct = asked.groupBy("field", "value").count().select("field", "value")
+    # tasks by the number of values, not by their few bytes; no finer ones: a node's distance table costs about the same for 10 values as for 1000
+    distinct = settled(asked.groupBy("field", "value").count().select("field", "value"))
+    n_values = distinct.count()
+    distinct = distinct.repartition(max(1, -(-n_values // VALUES_A_TASK)))
     if n_shards == 1:
         entries = tuple((r["field"], int(r["ref_id"]), r["ref_name"], r["short_code"], r["former_name"]) for r in reference.select("field", "ref_id", "ref_name", "short_code", "former_name").distinct().collect() if r["field"])
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trees = _trees(entries)
+            trees = _trees(entries, known)
             for batch in batches:
-                yield from _matched(batch, trees)
+                yield from _matched(batch, trees, known)
 
         found = distinct.mapInPandas(look, "field string, value string, ref_id long, distance int")
     else:
-        found = _sharded(distinct, reference, n_shards)
+        found = _sharded(distinct, reference, n_shards, known)
     blank = F.regexp_replace("value", r"(?U)[\s\p{Z}\p{Cf}\p{Cc}]+", "") == ""
     return asked.where(~blank).join(found, ["field", "value"]).select("id", "field", "value", "ref_id", "distance").distinct()
 
 
-def _matched(batch: pd.DataFrame, trees: dict[str, BKTree]) -> Iterator[pd.DataFrame]:
+def _matched(batch: pd.DataFrame, trees: dict[str, BKTree], known: Vocabulary) -> Iterator[pd.DataFrame]:
     for field, part in batch.groupby("field"):
         tree = trees.get(field)
         texts = part["value"].tolist()
-        found = match(texts, field, tree) if tree else {v: [] for v in texts}
+        found = match(texts, field, tree, known) if tree else {v: [] for v in texts}
         rows = [(field, v, ref, d) for v in texts for ref, d in (found[v] or [(-1, None)])]
         yield pd.DataFrame(rows, columns=["field", "value", "ref_id", "distance"]).astype({"distance": "Int32"})
 
@@ -321,23 +353,26 @@ def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["field", "value", "way", "n_parts", "part"])
 
 
-def _sharded(distinct: DataFrame, reference: DataFrame, n_shards: int) -> DataFrame:
+def _sharded(distinct: DataFrame, reference: DataFrame, n_shards: int, known: Vocabulary) -> DataFrame:
     """Each shard's tree answers for every part of every reading; the winners are merged per part, then the first reading all of whose parts are entries counts."""
     readings = distinct.mapInPandas(_readings, "field string, value string, way int, n_parts int, part string")
     entries = reference.select("field", "ref_id", "ref_name", "short_code", "former_name").withColumn("shard", F.pmod(F.xxhash64("field", "ref_id"), F.lit(n_shards)).cast("int"))
-    spread = readings.select("field", "part").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("lane", F.pmod(F.xxhash64("part"), F.lit(8)).cast("int"))
-    wide = entries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    parts = settled(readings.select("field", "part").distinct())
+    lanes = max(1, -(-parts.count() // VALUES_A_TASK))
+    spread = parts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("lane", F.pmod(F.xxhash64("part"), F.lit(lanes)).cast("int"))
+    wide = entries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = tuple(sorted((r.field, int(r.ref_id), *(x if isinstance(x, str) else "" for x in (r.ref_name, r.short_code, r.former_name))) for r in right.itertuples()))
-        trees, out = _trees(rows), []
+        trees, out = _trees(rows, known), []
         for field, part in left.groupby("field"):
             if field in trees:
-                found = _lookup(trees[field], {v: forms(v, field) for v in part["part"]})
+                found = _lookup(trees[field], {v: forms(v, field, known) for v in part["part"]})
                 out += [(field, v, hits[0][1], hits[0][0]) for v, hits in found.items() if hits]
         return pd.DataFrame(out, columns=["field", "part", "ref_id", "distance"]).astype({"ref_id": "int64", "distance": "int32"})
 
-    each = spread.groupBy("shard", "lane").cogroup(wide.groupBy("shard", "lane")).applyInPandas(look, "field string, part string, ref_id long, distance int")
+    cells = n_shards * lanes
+    each = spread.repartition(cells, "shard", "lane").groupBy("shard", "lane").cogroup(wide.repartition(cells, "shard", "lane").groupBy("shard", "lane")).applyInPandas(look, "field string, part string, ref_id long, distance int")
     best = each.groupBy("field", "part").agg(F.min(F.struct("distance", "ref_id")).alias("hit"))
     met = readings.join(best, ["field", "part"]).groupBy("field", "value", "way", "n_parts").agg(F.count("*").alias("n"), F.collect_set("hit").alias("hits")).where("n = n_parts")
     first = met.groupBy("field", "value").agg(F.min(F.struct("way", "hits"))["hits"].alias("hits"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -18,6 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.runtime import settled
+
+#: Records of a class of look-alikes that meet the class in one slot.
+ROWS_A_SLOT = 2000
+
 # Letters of other scripts (and Latin variants) drawn like a Latin letter, as look-alike=prototype pairs.
 LOOKALIKES = (
     # Cyrillic capitals
@@ -63,54 +69,86 @@ def prototypes() -> dict[int, str]:
     return table
 
 
+def read_confusables(lines) -> dict[int, str]:
+    """Look-alikes from lines of the public confusables format (``source ; prototype ; type # comment``, code points in hexadecimal); prototypes of several letters are kept."""
+    table: dict[int, str] = {}
+    for line in lines:
+        fields = [x.strip() for x in line.lstrip("\ufeff").split("#", 1)[0].split(";")]
+        if len(fields) > 1 and fields[0] and " " not in fields[0]:
+            table[int(fields[0], 16)] = "".join(chr(int(x, 16)) for x in fields[1].split())
+    return table
+
+
+class Skeletons(dict):
+    """Part of a text without blanks -> its printed form, remembered.  A blank begins anew whatever marks follow it, so a text's form is that of its parts."""
+
+    def __init__(self, lookalikes: dict[int, str] | None = None):
+        super().__init__()
+        self.table = prototypes() if lookalikes is None else prototypes() | lookalikes
+
+    def __missing__(self, part: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        form = part
+        if not (part.isascii() and part.isprintable()):
+            form = unicodedata.normalize("NFD", unicodedata.normalize("NFD", part).translate(self.table).translate(self.table))
+        self[part] = form
+        return form
+
+    def of(self, text: str) -> str:
+        return " ".join(map(self.__getitem__, text.split(" ")))
+
+
+_DEFAULT: list[Skeletons] = []
+
+
 def skeleton(text: str) -> str:
-    """The printed form of one text."""
-    if text.isascii() and text.isprintable():
-        return text
-    table = prototypes()
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table).translate(table))
-
-
-@F.pandas_udf(T.StringType())
-def _skeletons(texts: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    out = []
-    for text in texts:
-        if text is None or text != text:
-            out.append(None)
-            continue
-        if text not in known:
-            known[text] = skeleton(text)
-        out.append(known[text])
-    return pd.Series(out, index=texts.index, dtype=object)
+    """The printed form of one text, by the default table."""
+    if not _DEFAULT:
+        _DEFAULT.append(Skeletons())
+    return _DEFAULT[0].of(text)
+
+
+def skeleton_column(text: Column, lookalikes: dict[int, str] | None = None) -> Column:
+    """``lookalikes`` (code point -> prototype, see ``read_confusables``) come on top of LOOKALIKES."""
+
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Skeletons(lookalikes)
+        for texts in batches:
+            yield pd.Series([None if t is None or t != t else known.of(t) for t in texts], index=texts.index, dtype=object)
+
+    return run(text)
 
 
-def skeleton_column(text: Column) -> Column:
-    return _skeletons(text)
+def _forms(df: DataFrame, key: str, text: str, lookalikes: dict[int, str] | None) -> DataFrame:
+    """``id, form, class_id`` of each record and text: digests of the text and of its skeleton, which is computed once and written down."""
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    rows = rows.select("id", F.md5("__text").alias("form"), F.md5(skeleton_column(F.col("__text"), lookalikes)).alias("class_id"))
+    return settled(rows.distinct())
 
 
-def printed_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+def printed_classes(df: DataFrame, key: str, text: str, lookalikes: dict[int, str] | None = None) -> DataFrame:
     """One row per distinct (record, text): ``key, text_hash, class_id, n_forms``.
 
     ``class_id`` is a 128-bit digest of the skeleton; ``n_forms`` counts the different texts of the class.  Only digests are shuffled, and
     the number of forms is aggregated map-side first, so a class that holds a third of all rows costs one row per partition and form.
     """
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    rows = rows.select("__key", F.md5("__text").alias("text_hash"), F.md5(skeleton_column(F.col("__text"))).alias("class_id"))
-    forms = rows.groupBy("class_id", "text_hash").agg(F.lit(1).alias("__n")).groupBy("class_id").agg(F.count("*").alias("n_forms"))
-    return rows.join(forms, "class_id").distinct().select(F.col("__key").alias(key), "text_hash", "class_id", "n_forms")
+    rows = _forms(df, key, text, lookalikes)
+    forms = rows.groupBy("class_id", "form").agg(F.lit(1).alias("__n")).groupBy("class_id").agg(F.count("*").alias("n_forms"))
+    return rows.join(forms, "class_id").select(F.col("id").alias(key), F.col("form").alias("text_hash"), "class_id", "n_forms")
 
 
-def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+def alike_pairs(df: DataFrame, key: str, text: str, lookalikes: dict[int, str] | None = None) -> DataFrame:
     """``id_a, id_b`` (smaller first) of records whose texts differ but print alike.
 
-    Classes with a single form have no pair and are dropped before the join, so exact copies never meet each other.
+    Classes with a single form have no pair and are dropped before the join, so exact copies never meet each other.  The records of a large class are dealt
+    over slots that each meet the whole class, so that no task makes more than ROWS_A_SLOT times the class's pairs of one record.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull() & F.col("id").isNotNull())
-    rows = rows.select("id", F.md5("__text").alias("form"), F.md5(skeleton_column(F.col("__text"))).alias("class_id"))
-    rows = rows.distinct()
-    forms = rows.groupBy("class_id").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("class_id")
-    mixed = rows.join(forms, "class_id")
-    a = mixed.select("class_id", F.col("id").alias("id_a"), F.col("form").alias("form_a"))
-    b = mixed.select("class_id", F.col("id").alias("id_b"), F.col("form").alias("form_b"))
-    return a.join(b, "class_id").where("id_a < id_b and form_a <> form_b").select("id_a", "id_b").distinct()
+    rows = _forms(df.where(F.col(key).isNotNull()), key, text, lookalikes)
+    classes = rows.groupBy("class_id").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    slots = classes.select("class_id", F.ceil(F.col("n") / ROWS_A_SLOT).cast("int").alias("slots"))
+    mixed = rows.join(slots, "class_id")
+    a = mixed.select("class_id", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot"), F.col("id").alias("id_a"), F.col("form").alias("form_a"))
+    b = mixed.select("class_id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("id").alias("id_b"), F.col("form").alias("form_b"))
+    return a.join(b, ["class_id", "slot"]).where("id_a < id_b and form_a <> form_b").select("id_a", "id_b").distinct()

@@ -55,6 +55,22 @@ def test_mapping(spark, shard_entries):
     assert {k: sorted(v) for k, v in got.items()} == {k[0]: v for k, v in given.items() if v}
 
 
+def test_long_values_reach_no_table(monkeypatch):
+    tree = canonical.BKTree([("abcdef", 1, 1), ("uvw", 2, 1)])
+    assert tree.within(["x" * 20_000, "abcdeg", "", "a" * 8]) == [[], [(1, 1)], [], []]
+    monkeypatch.setattr(canonical, "TABLE_CELLS", 100)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(50)]
+    assert canonical.Batch(words).distances("abca", np.arange(50)).tolist() == [canonical.distance("abca", w) for w in words]
+    assert canonical.distance("a" * 10, "a" * 12) == 2
+
+
+def test_mapping_without_a_vocabulary(spark):
+    values = spark.createDataFrame([(1, "loai", "Thông  tu"), (2, "loai", "TT"), (3, "co_quan_ban_hanh", "UBND tỉnh Lam Khê")], "id long, field string, value string")
+    got = {r["id"]: r["ref_id"] for r in canonical.map_to_canonical(values, spark.createDataFrame(LIST, REFERENCE), known=canonical.NOTHING_KNOWN).collect()}
+    assert got == {1: 4, 2: 4, 3: -1}
+
+
 def test_mapping_to_nothing(spark):
     values = spark.createDataFrame([(1, "loai", "Luật")], "id long, field string, value string")
     empty = spark.createDataFrame([], REFERENCE)
@@ -187,13 +203,17 @@ def test_skeletons():
     assert s("\u200b\u2060") == "" and s(s("Ðа̀")) == s("Ðа̀")
 
 
-def test_alike(spark):
+def test_alike(spark, monkeypatch):
     rows = [(1, "Luật a"), (2, "Luật а"), (3, "Luật a"), (4, "luật a"), (5, None), (6, ""), (7, "\u200b"), (2, "Luật а"), (None, "Luật a")]
     df = spark.createDataFrame([(i, t, "z", "q") for i, t in rows], "id long, text string, class_id string, form string")
     assert {tuple(r) for r in confusables.alike_pairs(df, "id", "text").collect()} == {(1, 2), (2, 3), (6, 7)}
     classes = {r["id"]: r for r in confusables.printed_classes(df, "id", "text").collect()}
     assert classes[1]["class_id"] == classes[2]["class_id"] != classes[4]["class_id"] and classes[1]["n_forms"] == 2
     assert confusables.alike_pairs(df.where("false"), "id", "text").count() == 0
+    monkeypatch.setattr(confusables, "ROWS_A_SLOT", 1)
+    assert {tuple(r) for r in confusables.alike_pairs(df, "id", "text").collect()} == {(1, 2), (2, 3), (6, 7)}
+    more = confusables.read_confusables(["\ufeff# confusables", "0414 ; 0041 ; MA # Д", "006D ; 0072 006E ; MA"])
+    assert more == {0x414: "A", 0x6D: "rn"} and confusables.Skeletons(more).of("Дm x") == "Arn x"
 
 
 # ---- 7 -------------------------------------------------------------------------------------------------------------------------------
