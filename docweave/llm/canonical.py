@@ -148,6 +148,13 @@ def distance(a: str, b: str) -> int:
     return table[-1][-1]
 
 
+LETTERS = 48
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS).astype(np.int16)
+
+
 class Batch:
     """Values of one batch as padded code points, for distances to one string at a time."""
 
@@ -159,6 +166,13 @@ class Batch:
             if v:
                 self.codes[k, : len(v)] = np.frombuffer(v.encode("utf-32-le"), np.int32)
 
+        self.letters = np.stack([_letters(v) for v in values]) if values else np.zeros((0, LETTERS), np.int16)
+
+    def at_least(self, word: str, rows: np.ndarray) -> np.ndarray:
+        """A lower bound of the distances, by letters that one has more often than the other: an edit changes at most one of each side, a swap none."""
+        more = self.letters[rows] - _letters(word)
+        return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+
     def distances(self, word: str, rows: np.ndarray) -> np.ndarray:
         """Unrestricted Damerau-Levenshtein distance of ``word`` to each of the rows (Lowrance and Wagner's recurrence, over all rows at once)."""
         lengths = self.lengths[rows]
@@ -201,6 +215,8 @@ class BKTree:
         self.longest = max((len(word) + limit for word, _, limit in entries), default=-1)
         for word, ref, limit in entries:
             self._add(word, ref, limit)
+        #: Distance from a node within which a value may find it or something below it.
+        self.below = [max([limit for _, limit in refs] + [edge + self.reach[child] for edge, child in children.items()]) for refs, children in zip(self.refs, self.children, strict=True)]
 
     def _add(self, word: str, ref: int, limit: int) -> None:
         if not self.words:
@@ -236,6 +252,10 @@ class BKTree:
         stack = [(0, np.array(asked))]
         while stack:
             node, rows = stack.pop()
+            # whoever is surely farther than this finds neither the node nor anything below it
+            rows = rows[batch.at_least(self.words[node], rows) <= self.below[node]]
+            if not len(rows):
+                continue
             d = batch.distances(self.words[node], rows)
             for ref, limit in self.refs[node]:
                 for k in np.flatnonzero(d <= limit):
@@ -256,7 +276,7 @@ def _trees(entries: tuple[tuple[str, int, str | None, str | None, str | None], .
     return {field: BKTree(sorted(rows, key=lambda x: (-len(x[0]), x))) for field, rows in by_field.items()}
 
 
-def _lookup(tree: BKTree, asked: dict[str, list[str]], chunk: int = 2000) -> dict[str, list[tuple[int, int]]]:
+def _lookup(tree: BKTree, asked: dict[str, list[str]], chunk: int = 8000) -> dict[str, list[tuple[int, int]]]:
     """value -> (distance, ref), nearest first; asked: value -> its forms."""
     words = sorted({f for fs in asked.values() for f in fs}, key=len)
     hits: dict[str, list[tuple[int, int]]] = {}
