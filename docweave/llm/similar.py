@@ -5,7 +5,7 @@ to it, in the order of their estimated chance of success, are probed in each tab
 with a proven error, so that no candidate that could be among the k best is left out; what the tables found is merged and reranked by exact cosine.
 
 Vectors that are equal number for number are one node of the index; their records come back at the end, so a third of all rows with the same vector costs one
-row.  A bucket of more than ``BLOCK_ROWS`` vectors is shared out: its probes are dealt over several tasks, each of which holds the bucket's vectors.
+row.  A bucket of more than ``BLOCK_ROWS`` vectors or probes is cut into blocks, every two of which meet once.
 
 The index grows with the collection as the theory asks: one more projection a doubling keeps the candidates of a probe few, and the number of tables follows
 from the chance that a pair of cosine HASHED is met.  Below that similarity hashing would lose neighbours, the more the larger the collection; who asks for
@@ -115,11 +115,15 @@ def _hash(batches: Iterator[pd.DataFrame], size: int, projections: int, tables:
                     yield pd.DataFrame({"bucket": key, "probe": np.full(n, k > 0), "id": ids, "scale": (1 / scale).astype(np.float32), "code": packed})
 
 
+#: What a row is in a cell of a bucket: an own vector that also meets the cell's other own ones, an own vector that doesn't, or one that meets the own ones.
+BOTH, OWN, PROBE = 0, 1, 2
+
+
 def _compare(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (bucket, block, probe): a bucket's own vectors come first and are compared among themselves, then with each probe."""
+    """Rows sorted by (bucket, block, against, role): a cell's own vectors come first and are compared among themselves if they are to be, then with each probe."""
     # each component is off by at most half a step of scale on either side, so a product of unit vectors by at most:
     half = 0.5 * math.sqrt(size)
-    here, own_ids, own, own_err = None, None, None, None
+    here, own_ids, own, own_err, among = None, None, None, None, False
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,56 +131,77 @@ def _compare(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -
         m = np.frombuffer(b"".join(part["code"]), np.int8).reshape(len(part), size).astype(np.float32) * s[:, None]
         return part["id"].to_numpy(np.int64), m, (half * s).astype(np.float32)
 
-    def meet(ids: np.ndarray, m: np.ndarray, err: np.ndarray, skip_earlier: bool) -> Iterator[pd.DataFrame]:
+    def floor(sure: np.ndarray) -> np.ndarray:
+        """What the (k+1)-th best of each row, which may hold the row itself, is surely as good as."""
+        at = sure.shape[1] - k - 1
+        return np.partition(sure, at, 1)[:, at] if at > 0 else np.full(len(sure), -np.inf, np.float32)
+
+    def meet(ids: np.ndarray, m: np.ndarray, err: np.ndarray) -> Iterator[pd.DataFrame]:
         for a in range(0, len(ids), 1024):
             rows = slice(a, a + 1024)
-            parts = []
             for b in range(0, len(own_ids), 8192):
                 columns = slice(b, b + 8192)
                 near = m[rows] @ own[columns].T
                 slack = err[rows][:, None] + own_err[columns][None, :] + 1e-3
-                bound = np.full(len(near), least, np.float32)
-                if near.shape[1] > k + 1:
-                    # the (k+1)-th best, which may hold the row itself, is surely as good as this
-                    floor = np.partition(near - slack, near.shape[1] - k - 1, 1)[:, near.shape[1] - k - 1]
-                    bound = np.maximum(bound, floor)
-                i, j = np.nonzero(near + slack >= bound[:, None])
+                best = near + slack
+                mask = best >= least
+                if np.count_nonzero(mask) > 8 * (k + 1) * len(near):  # many: only who may be among the k best of either
+                    sure = near - slack
+                    mask &= (best >= floor(sure)[:, None]) | (best >= floor(np.ascontiguousarray(sure.T))[None, :])
+                i, j = np.nonzero(mask)
                 left, right = ids[rows][i], own_ids[columns][j]
                 keep = left != right
-                parts.append((np.minimum(left, right)[keep], np.maximum(left, right)[keep]))
-            lo, hi = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            if len(lo):
-                yield pd.DataFrame({"a": lo, "b": hi}).drop_duplicates()
+                if keep.any():
+                    yield pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep]}).drop_duplicates()
 
-    def load() -> None:
+    def load() -> Iterator[pd.DataFrame]:
         nonlocal own_ids, own, own_err
         own_ids, own, own_err = (np.concatenate([h[c] for h in held]) for c in range(3)) if held else (np.empty(0, np.int64), np.empty((0, size), np.float32), np.empty(0, np.float32))
         held.clear()
+        if among and len(own_ids) > 1:
+            yield from meet(own_ids, own, own_err)
 
     for batch in batches:
-        codes = batch["bucket"].to_numpy(), batch["block"].to_numpy(), batch["probe"].to_numpy()
-        change = np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1]) | (codes[2][1:] != codes[2][:-1])) + 1
+        codes = [batch[c].to_numpy() for c in ("bucket", "block", "against", "role")]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], 0)) + 1
         for lo, hi in zip([0, *change], [*change, len(batch)], strict=True):
             part = batch.iloc[lo:hi]
-            place = (codes[0][lo], codes[1][lo])
+            place, role = (codes[0][lo], codes[1][lo], codes[2][lo]), codes[3][lo]
             if place != here:
-                if held:  # a bucket that is over and had no probe
-                    load()
-                    yield from meet(own_ids, own, own_err, True)
+                if held:  # a cell that is over and had no probe
+                    yield from load()
                 here, own_ids = place, None
-            if not codes[2][lo]:
+            if role != PROBE:
                 held.append(matrix(part))
+                among = role == BOTH
                 continue
             if own_ids is None:
-                load()
-                if len(own_ids) > 1:
-                    yield from meet(own_ids, own, own_err, True)
+                yield from load()
             if len(own_ids):
-                yield from meet(*matrix(part), False)
+                yield from meet(*matrix(part))
     if held:
-        load()
-        if len(own_ids) > 1:
-            yield from meet(own_ids, own, own_err, True)
+        yield from load()
+
+
+def _cells(entries: DataFrame) -> DataFrame:
+    """The rows of each bucket in the cells in which they meet: ``block, against, role``.
+
+    A bucket of up to BLOCK_ROWS own vectors and BLOCK_ROWS probes is one cell.  A larger one is cut: its own vectors into blocks, every two of which meet in one cell, and its
+    probes into slots, each of which meets every block in one cell.  So no pair is looked at twice, and no cell is larger than two blocks.
+    """
+    n_own, n_probe = F.count_if(~F.col("probe")), F.count_if(F.col("probe"))
+    sizes = entries.groupBy("bucket").agg(n_own.alias("n_own"), n_probe.alias("n_probe")).where((F.col("n_own") > 0) & (F.greatest("n_own", "n_probe") > BLOCK_ROWS))
+    big = sizes.select(F.col("bucket").alias("hot"), F.ceil(F.col("n_own") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("n_probe") / BLOCK_ROWS).cast("int").alias("slots"))
+    rows = entries.join(small(settled(big)), F.col("bucket") == F.col("hot"), "left")
+    cell = lambda block, against, role: F.struct(block.cast("int").alias("block"), against.cast("int").alias("against"), role.cast("int").alias("role"))
+    every = lambda n: F.filter(F.sequence(F.lit(0), n), lambda j: j < n)
+    block, slot = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id"), F.col("slots"))
+    meets = F.transform(every(F.col("blocks")), lambda j: cell(F.least(block, j), F.greatest(block, j), F.when(j == block, BOTH).when(j > block, OWN).otherwise(PROBE)))
+    asked = F.transform(every(F.col("slots")), lambda j: cell(block, F.col("blocks") + j, F.lit(OWN)))
+    asks = F.transform(every(F.col("blocks")), lambda j: cell(j, F.col("blocks") + slot, F.lit(PROBE)))
+    alone = F.array(cell(F.lit(0), F.lit(0), F.when(F.col("probe"), PROBE).otherwise(BOTH)))
+    cells = F.when(F.col("hot").isNull(), alone).when(F.col("probe"), asks).otherwise(F.concat(meets, asked))
+    return rows.select("bucket", F.inline(cells), "id", "scale", "code")
 
 
 def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
@@ -223,12 +248,8 @@ def _hashed(nodes: DataFrame, count: int, size: int, k: int, least: float) -> Da
         projections, tables = plan(count)
         entries = nodes.select("id", "vector").mapInPandas(lambda b: _hash(b, size, projections, tables, PROBES), "bucket long, probe boolean, id long, scale float, code binary")
         entries = settled(entries)
-        big = entries.where("not probe").groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS).select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts"))
-        shared = entries.join(small(big), F.col("bucket") == F.col("hot"), "left")
-        blocks = F.when(F.col("hot").isNull(), F.array(F.lit(0))).when(F.col("probe"), F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        shared = shared.select("bucket", F.explode(blocks).alias("block"), "probe", "id", "scale", "code")
         buckets = tasks_for(spark, count * tables * (PROBES + 1), 1_000_000)
-        found = shared.repartition(buckets, "bucket", "block").sortWithinPartitions("bucket", "block", "probe").mapInPandas(lambda b: _compare(b, size, k, least), schema)
+        found = _cells(entries).repartition(buckets, "bucket", "block", "against").sortWithinPartitions("bucket", "block", "against", "role").mapInPandas(lambda b: _compare(b, size, k, least), schema)
         pairs = found.distinct()
     else:
         pairs = spark.createDataFrame([], schema)

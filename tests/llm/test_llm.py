@@ -177,6 +177,20 @@ def test_neighbours_are_five_each(spark, tmp_path):
     assert {r["count"] for r in p4_neighbours(spark, str(tmp_path)).groupBy("id").count().collect()} == {5}
 
 
+@pytest.mark.parametrize(("n_own", "n_probe", "block_rows"), [(30, 20, 7), (30, 2, 7), (3, 40, 7), (30, 20, 100), (0, 40, 7)])
+def test_pairs_of_a_hot_bucket_come_once(spark, monkeypatch, n_own, n_probe, block_rows):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(8)
+    rows = [(7, k >= n_own, k, 0.01, rng.integers(-100, 100, 4).astype(np.int8).tobytes()) for k in range(n_own + n_probe)] + [(8, False, 0, 0.01, bytes(4)), (9, True, 1, 0.01, bytes(4))]
+    cells = similar._cells(spark.createDataFrame(rows, "bucket long, probe boolean, id long, scale float, code binary"))
+    assert cells.groupBy("bucket", "block", "against").count().agg(F.max("count")).first()[0] <= 2 * block_rows + 8 + 30  # a hash deals unevenly
+    sorted_cells = cells.coalesce(1).sortWithinPartitions("bucket", "block", "against", "role")
+    got = [tuple(r) for r in sorted_cells.mapInPandas(lambda b: similar._compare(b, 4, 1000, -10.0), "a long, b long").collect()]
+    own, probes = range(n_own), range(n_own, n_own + n_probe)
+    want = [*itertools.combinations(own, 2), *itertools.product(own, probes)]
+    assert sorted(got) == sorted(want)
+
+
 def test_similar_cases(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_ROWS", 4)
     base = [[1.0, 0, 0, 0], [0.99, 0.1, 0, 0], [0, 1.0, 0, 0]]
