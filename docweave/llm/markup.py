@@ -1,10 +1,10 @@
 """Problem 2: markup residue to clean text that keeps headings, list items, table rows, code blocks and formulas.
 
 A document is cut into the sequence of its leaves: what a tag, an environment, a fence or a line delimits.  Each leaf has a path (the tags or line
-marks it stands in) and words.  A bidirectional LSTM in numpy reads path and hashed-word vectors of the whole sequence, with their mean over the document, and
-labels every leaf with its markup and kind.  The same mark means different things in different documents (``#`` a heading or an item, a dash an item
-or a dash, ``$x$`` one markup's formula or another's); it's the network that tells by the context.  An exact check follows: a leaf can only become
-what its path admits.  The network is trained by train_markup.py; its weights are in markup_model.npz.
+marks it stands in) and words.  A bidirectional LSTM in numpy reads path and hashed-word vectors of the whole sequence, every word of a leaf, and labels every leaf
+with its markup and kind; what it knows of the rest of the document it has read on the way there.  The same mark means different things in different
+documents (``#`` a heading or an item, a dash an item or a dash, ``$x$`` one markup's formula or another's); it's the network that tells.  An exact check
+follows: a leaf can only become what its path admits.  The network is trained by train_markup.py on documents that are generated from a known structure; its weights are in markup_model.npz.
 
 Defined results: null and blank texts have no leaf; a repeated row counts once; text of unclosed code, comments and literals goes to the end of the document;
 a record that was escaped once too often as a whole is unescaped first; very long documents are read whole.
@@ -36,8 +36,9 @@ MARKS = (
     "bold **", "bold '''", "link [](", "link [[", "tick", "textbf", "command", "escape \\", "tag", "ref", "dollar", "task", "blank", "percent", "chapter", "long", "short",
 )
 MARK = {m: n for n, m in enumerate(MARKS)}
-WORD_BUCKETS = 24
-INPUTS = len(MARKS) + WORD_BUCKETS
+#: Hash buckets of words, and numbers a leaf's words are brought to.
+WORD_BUCKETS, WORD_SIZE = 512, 16
+INPUTS = len(MARKS) + WORD_SIZE
 
 
 class Leaf:
@@ -185,6 +186,9 @@ def _tex_lines(rest: str, leaves: list[Leaf], place) -> None:
 
 
 def _text_lines(part: str, at: int, leaves: list[Leaf], place, mark: str) -> None:
+    if (m := _TAG.search(part)) and any(t[2].lower() in _BLOCK for t in _TAG.finditer(part, m.start())):
+        _html_and_lines(part, at, leaves, place)
+        return
     for line in re.finditer(r"[^\n]+", part):
         body = line[0].strip()
         if body.strip(_PLACE + " ") and not re.fullmatch(r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?|\\hline", body):
@@ -314,9 +318,10 @@ def _plain_lines(piece: str, at: int, leaves: list[Leaf], place) -> None:
             body, quoted = body[1:].lstrip(), ("quote",)
         inline = _inline(body)
         nested = ("nested",) if line[:1] in " \t" else ()
+        gap = ("blank",) if k == 0 or not lines[k - 1][1].strip() else ()
 
         def add(marks: tuple[str, ...], text: str, *admits: tuple[str, str]) -> None:
-            leaves.append(Leaf(key, ("line", *marks, *quoted, *nested, *inline), text, admits))  # noqa: B023
+            leaves.append(Leaf(key, ("line", *marks, *quoted, *nested, *gap, *inline), text, admits))  # noqa: B023
 
         if k <= table_until and _DELIMITER.match(body) and "|" in body:
             continue
@@ -366,20 +371,21 @@ _WORDS = re.compile(r"\w+")
 
 
 def vectors(leaves: list[Leaf]) -> np.ndarray:
-    """Path marks and hashed words of each leaf."""
-    x = np.zeros((len(leaves), INPUTS), np.float32)
+    """Path marks and shares of the hashed words of each leaf, whole: len(MARKS) + WORD_BUCKETS columns."""
+    x = np.zeros((len(leaves), len(MARKS) + WORD_BUCKETS), np.float32)
+    at: list[int] = []
+    sizes: list[int] = []
     for k, leaf in enumerate(leaves):
-        row = x[k]
-        for mark in leaf.marks:
-            row[MARK[mark]] = 1
-        # up to 8 words from each end say what the leaf is; its length is a mark of its own
-        words = _WORDS.findall(leaf.text[:80].lower())
-        for w in words:
-            row[len(MARKS) + _word(w)] += 1 / len(words)
+        x[k, [MARK[mark] for mark in leaf.marks]] = 1
+        words = _WORDS.findall(leaf.text.lower())
+        at += map(_word, words)
+        sizes.append(len(words))
         if len(leaf.text) > 160:
-            row[MARK["long"]] = 1
+            x[k, MARK["long"]] = 1
         elif len(leaf.text) < 40:
-            row[MARK["short"]] = 1
+            x[k, MARK["short"]] = 1
+    n = np.array(sizes)
+    np.add.at(x, (np.repeat(np.arange(len(leaves)), n), len(MARKS) + np.array(at, np.int64)), np.repeat(1 / np.maximum(n, 1), n).astype(np.float32))
     return x
 
 
@@ -388,17 +394,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BiLSTM:
-    """Weights: for each direction wx (2*INPUTS x 4h), wh (h x 4h), b (4h); out (2h + 2*INPUTS) x classes and its bias."""
+    """Weights: words (WORD_BUCKETS x WORD_SIZE), for each direction wx (INPUTS x 4h), wh (h x 4h), b (4h); out (2h + INPUTS) x classes and its bias."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: v.astype(np.float32) for k, v in weights.items()}
         self.h = self.w["wh0"].shape[0]
 
     @staticmethod
-    def context(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """(docs, leaves, INPUTS) -> the same with the strongest value each input has anywhere in the document."""
-        top = np.where(mask[:, :, None], x, 0).max(1, keepdims=True)
-        return np.concatenate([x, np.broadcast_to(top, x.shape)], 2)
+    def inputs(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Marks as they are, words by their vectors."""
+        return np.concatenate([x[..., : len(MARKS)], x[..., len(MARKS) :] @ words], -1)
 
     def run(self, x: np.ndarray, mask: np.ndarray, direction: int) -> np.ndarray:
         docs, steps, _ = x.shape
@@ -419,7 +424,7 @@ class BiLSTM:
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        z = self.context(x, mask)
+        z = self.inputs(x, self.w["words"])
         both = np.concatenate([self.run(z, mask, 0), self.run(z, mask, 1), z], 2)
         return both @ self.w["out"] + self.w["out_b"]
 
@@ -440,7 +445,7 @@ def admitted(leaves: list[Leaf]) -> np.ndarray:
     return ok
 
 
-def label(documents: list[list[Leaf]], net: BiLSTM | None = None, cells: int = 60_000) -> list[np.ndarray]:
+def label(documents: list[list[Leaf]], net: BiLSTM | None = None, cells: int = 20_000) -> list[np.ndarray]:
     """Class numbers of the leaves of each document; documents of like length run side by side."""
     net = net or network()
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(documents)
@@ -452,7 +457,7 @@ def label(documents: list[list[Leaf]], net: BiLSTM | None = None, cells: int = 6
             steps = len(documents[order[stop]])
             stop += 1
         group = order[at:stop]
-        x, mask = np.zeros((len(group), steps, INPUTS), np.float32), np.zeros((len(group), steps), bool)
+        x, mask = np.zeros((len(group), steps, len(MARKS) + WORD_BUCKETS), np.float32), np.zeros((len(group), steps), bool)
         for j, k in enumerate(group):
             n = len(documents[k])
             x[j, :n], mask[j, :n] = vectors(documents[k]), True

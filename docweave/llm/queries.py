@@ -102,7 +102,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
     """How demanding each source's documents are."""
-    documents = table(spark, folder, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"))
+    documents = table(spark, folder, "documents").select("doc_id", mixture.source_key(F.col("source")).alias("source"))
     return p10_found(spark, folder).join(documents, "doc_id").groupBy("source", "level").agg(F.count("*").alias("n_documents"))
 
 
