@@ -120,23 +120,31 @@ BOTH, OWN, PROBE = 0, 1, 2
 
 
 def _compare(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -> Iterator[pd.DataFrame]:
+    """The pairs of all cells (``_pairs``), in frames of some size."""
+    held, n = [], 0
+    for pair in _pairs(batches, size, k, least):
+        held.append(pair)
+        n += len(pair[0])
+        if n > 100_000:
+            yield pd.DataFrame({"a": np.concatenate([p[0] for p in held]), "b": np.concatenate([p[1] for p in held])}).drop_duplicates()
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame({"a": np.concatenate([p[0] for p in held]), "b": np.concatenate([p[1] for p in held])}).drop_duplicates()
+
+
+def _pairs(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows sorted by (bucket, block, against, role): a cell's own vectors come first and are compared among themselves if they are to be, then with each probe."""
     # each component is off by at most half a step of scale on either side, so a product of unit vectors by at most:
     half = 0.5 * math.sqrt(size)
     here, own_ids, own, own_err, among = None, None, None, None, False
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = part["scale"].to_numpy(np.float32)
-        m = np.frombuffer(b"".join(part["code"]), np.int8).reshape(len(part), size).astype(np.float32) * s[:, None]
-        return part["id"].to_numpy(np.int64), m, (half * s).astype(np.float32)
-
     def floor(sure: np.ndarray) -> np.ndarray:
         """What the (k+1)-th best of each row, which may hold the row itself, is surely as good as."""
         at = sure.shape[1] - k - 1
         return np.partition(sure, at, 1)[:, at] if at > 0 else np.full(len(sure), -np.inf, np.float32)
 
-    def meet(ids: np.ndarray, m: np.ndarray, err: np.ndarray) -> Iterator[pd.DataFrame]:
+    def meet(ids: np.ndarray, m: np.ndarray, err: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a in range(0, len(ids), 1024):
             rows = slice(a, a + 1024)
             for b in range(0, len(own_ids), 8192):
@@ -152,9 +160,9 @@ def _compare(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -
                 left, right = ids[rows][i], own_ids[columns][j]
                 keep = left != right
                 if keep.any():
-                    yield pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep]}).drop_duplicates()
+                    yield np.minimum(left, right)[keep], np.maximum(left, right)[keep]
 
-    def load() -> Iterator[pd.DataFrame]:
+    def load() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nonlocal own_ids, own, own_err
         own_ids, own, own_err = (np.concatenate([h[c] for h in held]) for c in range(3)) if held else (np.empty(0, np.int64), np.empty((0, size), np.float32), np.empty(0, np.float32))
         held.clear()
@@ -162,23 +170,34 @@ def _compare(batches: Iterator[pd.DataFrame], size: int, k: int, least: float) -
             yield from meet(own_ids, own, own_err)
 
     for batch in batches:
+        if not len(batch):
+            continue
         codes = [batch[c].to_numpy() for c in ("bucket", "block", "against", "role")]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], 0)) + 1
-        for lo, hi in zip([0, *change], [*change, len(batch)], strict=True):
-            part = batch.iloc[lo:hi]
-            place, role = (codes[0][lo], codes[1][lo], codes[2][lo]), codes[3][lo]
-            if place != here:
-                if held:  # a cell that is over and had no probe
-                    yield from load()
-                here, own_ids = place, None
+        new_cell = np.any([c[1:] != c[:-1] for c in codes[:3]], 0)
+        change = np.flatnonzero(new_cell | (codes[3][1:] != codes[3][:-1])) + 1
+        ids, scale = batch["id"].to_numpy(np.int64), batch["scale"].to_numpy(np.float32)
+        vectors = np.frombuffer(b"".join(batch["code"]), np.int8).reshape(len(batch), size) * scale[:, None]
+        err = (half * scale).astype(np.float32)
+        starts, stops, roles = [0, *change.tolist()], [*change.tolist(), len(batch)], codes[3].tolist()
+        for lo, hi in zip(starts, stops, strict=True):
+            role = roles[lo]
+            if lo == 0 or new_cell[lo - 1]:
+                place = (codes[0][lo], codes[1][lo], codes[2][lo])
+                if place != here:
+                    if held:  # a cell that is over and had no probe
+                        yield from load()
+                    here, own_ids = place, None
+            part = ids[lo:hi], vectors[lo:hi], err[lo:hi]
             if role != PROBE:
-                held.append(matrix(part))
+                held.append(part)
                 among = role == BOTH
                 continue
             if own_ids is None:
+                if not held:  # a bucket that is only asked
+                    continue
                 yield from load()
             if len(own_ids):
-                yield from meet(*matrix(part))
+                yield from meet(*part)
     if held:
         yield from load()
 

@@ -194,7 +194,7 @@ def test_pairs_of_a_hot_bucket_come_once(spark, monkeypatch, n_own, n_probe, blo
     cells = similar._cells(spark.createDataFrame(rows, "bucket long, probe boolean, id long, scale float, code binary"))
     assert cells.groupBy("bucket", "block", "against").count().agg(F.max("count")).first()[0] <= 2 * block_rows + 8 + 30  # a hash deals unevenly
     sorted_cells = cells.coalesce(1).sortWithinPartitions("bucket", "block", "against", "role")
-    got = [tuple(r) for r in sorted_cells.mapInPandas(lambda b: similar._compare(b, 4, 1000, -10.0), "a long, b long").collect()]
+    got = [(int(a), int(b)) for left, right in similar._pairs(iter([sorted_cells.toPandas()]), 4, 1000, -10.0) for a, b in zip(left, right, strict=True)]
     own, probes = range(n_own), range(n_own, n_own + n_probe)
     want = [*itertools.combinations(own, 2), *itertools.product(own, probes)]
     assert sorted(got) == sorted(want)
