@@ -194,7 +194,11 @@ def test_pairs_of_a_hot_bucket_come_once(spark, monkeypatch, n_own, n_probe, blo
     cells = similar._cells(spark.createDataFrame(rows, "bucket long, probe boolean, id long, scale float, code binary"))
     assert cells.groupBy("bucket", "block", "against").count().agg(F.max("count")).first()[0] <= 2 * block_rows + 8 + 30  # a hash deals unevenly
     sorted_cells = cells.coalesce(1).sortWithinPartitions("bucket", "block", "against", "role")
-    got = [(int(a), int(b)) for left, right in similar._pairs(iter([sorted_cells.toPandas()]), 4, 1000, -10.0) for a, b in zip(left, right, strict=True)]
+    rows = sorted_cells.toPandas()
+    each = [similar._compare(iter([cell]), 4, 1000, -10.0) for _, cell in rows.groupby(["bucket", "block", "against"])]
+    got = [(int(a), int(b)) for found in each for frame in found for a, b in zip(frame["a"], frame["b"], strict=True)]
+    together = list(similar._compare(iter([rows.iloc[:11], rows.iloc[11:]]), 4, 1000, -10.0))
+    assert {(a, b) for frame in together for a, b in zip(frame["a"], frame["b"], strict=True)} == set(got)
     own, probes = range(n_own), range(n_own, n_own + n_probe)
     want = [*itertools.combinations(own, 2), *itertools.product(own, probes)]
     assert sorted(got) == sorted(want)
