@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import fenced_json
+from docweave.functions.text import fenced_json, terms
 from docweave.operators.citations import citation, first_by_chunk
+from docweave.operators.relations import find_documents, relation_report
 
 # The intents, and the one a question has whose analysis fails.
 INTENTS = ("legal_query", "general", "doc_relation", "chitchat")
@@ -42,9 +43,59 @@ def routed(subs: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]
     return told if out is None else out.unionByName(told)
 
 
+# ---- branches ------------------------------------------------------------------------------------------------------------------------
+
+
+def legal_branch(nodes: DataFrame, documents: DataFrame, most: int = 5, least: float = 0.5) -> Callable[[DataFrame], DataFrame]:
+    """A3: sections of the document a sub-question is about: by the number it holds, else by the likest name; those of the section it asks for, else the ones that share most of its words.
+
+    ``nodes(chunk_id, so_hieu, text)``, ``documents(so_hieu, ten_van_ban)``.  All nodes of a document are scored before the best are taken.
+    """
+
+    def run(subs: DataFrame) -> DataFrame:
+        number = F.nullif(F.regexp_extract("query", r"(?iU)\b(\d+[/_][\w/_\-]+)", 1), F.lit(""))
+        asked = subs.select(F.concat_ws("/", "qid", "sub").alias("qid"), number.alias("number"), F.when(number.isNull(), F.col("query")).alias("name"))
+        best = Window.partitionBy("qid").orderBy(F.desc("score"), "so_hieu")
+        about = find_documents(documents, asked, least, 1).withColumn("p", F.row_number().over(best)).where("p = 1").select("qid", "so_hieu")
+        questions = subs.withColumn("key", F.concat_ws("/", "qid", "sub")).join(about.withColumnRenamed("qid", "key"), "key")
+        wanted = F.nullif(F.regexp_extract(F.lower("query"), r"(?U)\bđiều\s+(\d+\w*)", 1), F.lit(""))
+        words = questions.select("qid", "sub", "so_hieu", wanted.alias("article"), F.array_distinct(terms(F.col("query"))).alias("words"))
+        met = words.join(nodes, "so_hieu").where(F.col("article").isNull() | F.rlike("chunk_id", F.concat(F.lit(r"(?:^|\.)dieu_"), F.col("article"), F.lit(r"(?:__dup_\d+)?(?:\.|$)"))))
+        scored = met.select("qid", "sub", "chunk_id", F.size(F.array_intersect("words", terms(F.col("text")))).cast("double").alias("score"), "text")
+        place = Window.partitionBy("qid", "sub").orderBy(F.desc("score"), "chunk_id")
+        return scored.withColumn("p", F.row_number().over(place)).where(F.col("p") <= most).drop("p")
+
+    return run
+
+
+def general_branch(search: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A4: what a search by meaning finds; ``search`` takes ``qid, query`` (qid a string) and gives ``qid, chunk_id, score, text``."""
+
+    def run(subs: DataFrame) -> DataFrame:
+        keyed = subs.withColumn("key", F.concat_ws("/", "qid", "sub"))
+        found = search(keyed.select(F.col("key").alias("qid"), "query")).withColumnRenamed("qid", "key")
+        return keyed.select("key", "qid", "sub").join(found, "key").select("qid", "sub", "chunk_id", "score", "text")
+
+    return run
+
+
+def relation_branch(documents: DataFrame, relations: DataFrame, most: int = 5, least: float = 0.6) -> Callable[[DataFrame], DataFrame]:
+    """A5: the relations of the at most ``most`` documents whose names are likest to the sub-question, or that it names by number; a line of the report is a chunk."""
+
+    def run(subs: DataFrame) -> DataFrame:
+        number = F.nullif(F.regexp_extract("query", r"(?iU)\b(\d+[/_][\w/_\-]+)", 1), F.lit(""))
+        asked = subs.select(F.concat_ws("/", "qid", "sub").alias("key"), "qid", "sub", number.alias("number"), F.when(number.isNull(), F.col("query")).alias("name"))
+        about = find_documents(documents, asked.select(F.col("key").alias("qid"), "number", "name"), least, most).withColumnRenamed("qid", "key")
+        lines = relation_report(relations, documents).select(F.col("entity").alias("so_hieu"), "line").distinct()
+        told = asked.select("key", "qid", "sub").join(about, "key").join(lines, "so_hieu")
+        return told.select("qid", "sub", F.concat("so_hieu", F.lit(" "), "line").alias("chunk_id"), "score", F.col("line").alias("text"))
+
+    return run
+
+
 def merged(subs: DataFrame, found: DataFrame, most: int = 5) -> DataFrame:
     """Per sub-question its context: its chunks by score, each once; none found gives the fallback message."""
-    rows = first_by_chunk(found.where("chunk_id is not null").withColumn("key", F.concat_ws("/", "qid", "sub")), [F.desc("score")], "key")
+    rows = first_by_chunk(found.where("chunk_id is not null").withColumn("key", F.concat_ws("/", "qid", "sub")), [F.desc("score"), F.col("text")], "key")
     best = rows.groupBy("qid", "sub").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "chunk_id", "text"))), 1, most).alias("chunks"))
     own = found.where("chunk_id is null").groupBy("qid", "sub").agg(F.min("text").alias("told"))
     out = subs.join(best, ["qid", "sub"], "left").join(own, ["qid", "sub"], "left")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import terms
+from docweave.runtime import settled, small
 
 K1, B = 1.5, 0.75
 
@@ -52,16 +53,32 @@ def totals(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lengths(docs, key, text).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> Index:
-    """B1-B5.  N and avgdl are one row, joined as such; nothing is collected."""
-    tf = term_frequencies(docs, key, text)
-    dl = lengths(docs, key, text)
-    total = F.broadcast(dl.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total)
+def _impacts(tf: DataFrame, total: DataFrame, k1: float, b: float, key: str) -> tuple[DataFrame, DataFrame]:
+    """(terms with df and idf, postings with scores) from ``key, dl, term, tf``; N and avgdl are one row, joined as such, and nothing is collected."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     idf = df.select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     norm = F.when(F.col("avgdl") == 0, F.lit(k1)).otherwise(k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(dl, key).join(idf, "term").select("term", key, "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
-    return Index(dl, idf.select("term", "df", "idf"), scored)
+    return idf, tf.join(idf, "term").select("term", key, "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("score"))
+
+
+def _counted(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``key, dl, term, tf``: a text is cut into words once, and its length goes along with them; of ``wanted(term)`` only those are counted, before the shuffle."""
+    words = docs.select(F.col(key), terms(F.col(text)).alias("words")).select(key, F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted, "term", "left_semi")
+    return words.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> Index:
+    """B1-B5."""
+    idf, postings = _impacts(_counted(docs, key, text), totals(docs, key, text), k1, b, key)
+    return Index(lengths(docs, key, text), idf.select("term", "df", "idf"), postings)
+
+
+def bm25_postings_of(asked: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """The postings of the terms of ``asked(term)`` alone, as ``bm25_index`` scores them: what a batch of questions needs where no index is at hand."""
+    wanted = small(settled(asked.select("term").distinct()))
+    return _impacts(_counted(docs, key, text, wanted), totals(docs, key, text), k1, b, key)[1]
 
 
 def max_scores(postings: DataFrame) -> DataFrame:
@@ -103,10 +120,10 @@ def pruned_search(asked: DataFrame, postings: DataFrame, k: int, champion_size:
     running = Window.partitionBy("qid").orderBy("max_score", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = asked.join(max_scores(postings), "term").withColumn("sum_to", F.sum("max_score").over(running)).join(bound, "qid", "left")
     # ranking is by rounded scores, so the bound gives way by more than a rounding step
-    essential = split.where(F.col("sum_to") >= F.coalesce("bound", F.lit(0.0)) - 1e-5).select("qid", "term")
-    candidates = essential.join(postings.select("term", key), "term").select("qid", key).distinct()
-    full = asked.join(postings, "term").join(candidates, ["qid", key], "left_semi").groupBy("qid", key).agg(F.round(F.sum("score"), 6).alias("score"))
-    return top_k(full, k, key), candidates.groupBy("qid").agg(F.count("*").alias("n_evaluated"))
+    marked = split.select("qid", "term", (F.col("sum_to") >= F.coalesce("bound", F.lit(0.0)) - 1e-5).alias("essential"))
+    # one join with the postings: a document without an essential term is dropped by the flag its sum carries
+    summed = marked.join(postings, "term").groupBy("qid", key).agg(F.sum("score").alias("sum"), F.bool_or("essential").alias("candidate")).where("candidate")
+    return top_k(summed.select("qid", key, F.round("sum", 6).alias("score")), k, key), summed.groupBy("qid").agg(F.count("*").alias("n_evaluated"))
 
 
 # ---- TF-IDF --------------------------------------------------------------------------------------------------------------------------

@@ -22,12 +22,6 @@ def _index(spark, folder) -> L.Index:
     return L.bm25_index(corpus(spark, folder))
 
 
-def _built(spark, folder) -> L.Index:
-    """The index with its postings as a table, for queries that read them more than once."""
-    index = _index(spark, folder)
-    return L.Index(index.docs, index.terms, settled(index.postings))
-
-
 def _terms(spark, folder) -> DataFrame:
     return L.query_terms(asked(spark, folder), "id", "title")
 
@@ -57,20 +51,27 @@ def champion_lists(spark, folder):
     return L.champions(_index(spark, folder).postings, 20).select("term", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _postings(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The questions' terms, and their postings as a table, since searches read them more than once."""
+    terms = settled(_terms(spark, folder))
+    return terms, settled(L.bm25_postings_of(terms, corpus(spark, folder)))
+
+
 def bm25_search_full(spark, folder):
-    return L.search(_terms(spark, folder), _index(spark, folder).postings, 10)
+    return L.search(*_postings(spark, folder), 10)
 
 
 def bm25_search_champion(spark, folder):
-    return L.search(_terms(spark, folder), L.champions(_index(spark, folder).postings, 50), 10)
+    terms, postings = _postings(spark, folder)
+    return L.search(terms, L.champions(postings, 50), 10)
 
 
 def bm25_wand(spark, folder):
-    return L.pruned_search(_terms(spark, folder), _built(spark, folder).postings, 20)[0]
+    return L.pruned_search(*_postings(spark, folder), 20)[0]
 
 
 def bm25_wand_evaluated(spark, folder):
-    return L.pruned_search(_terms(spark, folder), _built(spark, folder).postings, 20)[1]
+    return L.pruned_search(*_postings(spark, folder), 20)[1]
 
 
 def _tfidf(spark, folder, scheme):

@@ -15,9 +15,10 @@ from docweave.operators import citations as C
 from docweave.operators import metadata as M
 from docweave.operators import references as N
 from docweave.operators import structure as S
+from docweave.operators import vector as V
 from docweave.operators.hierarchy import hierarchy
 from docweave.plans.vector_queries import _near, store
-from docweave.runtime import spread, table
+from docweave.runtime import settled, spread, table
 
 #: Invented model answers.
 ANSWERS = (
@@ -184,11 +185,12 @@ def reference_lists(spark, folder):
 
 
 def context_blocks(spark, folder):
-    """Per query the stored texts of its results by distance, each with its chunk's first references below."""
+    """Per query the stored texts of its results by distance, each with the texts of its chunk's chosen references below."""
     found = table(spark, folder, "chroma_query_result").where("distance is not null and text is not null").select("query_id", "result_id", "chunk_id", "text", "distance").distinct()
     order = Window.partitionBy("query_id").orderBy("distance", "result_id")
-    main = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(F.col("query_id").alias("qid"), "rank", F.col("chunk_id").alias("main"), "text")
-    refs = ref_expand(spark, folder).select("main", "rank", F.col("ref").alias("ref_text"))
+    main = found.withColumn("rank", F.row_number().over(order)).select(F.col("query_id").alias("qid"), "rank", F.col("chunk_id").alias("main"), "text")
+    stored = _nodes(spark, folder).groupBy(F.col("id").alias("ref")).agg(F.min("full_text").alias("ref_text"))
+    refs = ref_expand(spark, folder).join(stored, "ref").select("main", "rank", F.coalesce("ref_text", "ref").alias("ref_text"))
     return C.context_blocks(main, refs).select("qid", F.md5("context").alias("digest"), F.char_length("context").alias("n_chars"))
 
 
@@ -205,18 +207,30 @@ def cross_branch_dedup(spark, folder):
     return C.first_by_chunk(rows, [F.col("result_id")]).select("chunk_id", "result_id")
 
 
+def _search_texts(spark, folder):
+    """A search by meaning that needs no model: cosine of hashed words, over every node's text."""
+    nodes = _nodes(spark, folder).where("content is not null").select(F.col("id").alias("chunk_id"), F.col("content").alias("text")).dropDuplicates(["chunk_id"]).withColumn("key", F.xxhash64("chunk_id"))
+
+    def run(asked):
+        encode = V.hashing_encoder(64)
+        questions = V.embed(asked.withColumn("n", F.xxhash64("qid")), "query", encode, 64)
+        near = V.nearest(questions.withColumnRenamed("vector", "qv"), V.embed(nodes, "text", encode, 64), "n", "qv", "key", "vector", 64, k=5)
+        return near.join(asked.withColumn("n", F.xxhash64("qid")).withColumnRenamed("qid", "asked"), near["qid"] == F.col("n")).join(nodes, F.col("id") == F.col("key")).select(F.col("asked").alias("qid"), "chunk_id", (1 - F.col("distance")).alias("score"), "text")
+
+    return run
+
+
 def intent_route_merge(spark, folder):
-    """Titles as questions: the analysis is JSON built from them, one branch reads nodes by number, one finds chunks by meaning."""
+    """A question of three parts about every record whose id is divisible by 20: what its number's document says, what there is on its title, which documents it is related to; and small talk for a fourth part."""
     meta = table(spark, folder, "document_metadata").where("id % 20 = 0 and ten_van_ban is not null and so_hieu is not null").groupBy("id").agg(F.min("ten_van_ban").alias("question"), F.min("so_hieu").alias("so_hieu"))
-    part = lambda intent: F.struct(F.col("so_hieu").alias("query"), F.lit(intent).alias("intent"))
-    made = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(part("legal_query"), part("other")).alias("sub_questions"))), F.lit("\n```"))
-    answer = F.when(F.col("id") % 40 == 0, F.lit("không phải JSON")).otherwise(made)
-    subs = A.analysed(meta.select(F.col("id").alias("qid"), "question", answer.alias("answer")), F.col("answer"))
+    part = lambda query, intent: F.struct(F.col(query).alias("query"), F.lit(intent).alias("intent"))
+    made = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(part("so_hieu", "legal_query"), part("question", "general"), part("so_hieu", "doc_relation"), part("question", "chitchat")).alias("sub_questions"))), F.lit("\n```"))
+    subs = settled(A.analysed(meta.select(F.col("id").alias("qid"), "question", made.alias("answer")), F.col("answer")))
+    documents = table(spark, folder, "document_metadata").select("so_hieu", "ten_van_ban").distinct()
     nodes = _nodes(spark, folder).where("content is not null").select("so_hieu", F.col("id").alias("chunk_id"), F.col("content").alias("text")).dropDuplicates(["chunk_id"])
-    # the first 5 nodes of a document are all a context holds, so a hot document meets the questions with 5 rows
-    few = nodes.withColumn("place", F.row_number().over(Window.partitionBy("so_hieu").orderBy("chunk_id"))).where("place <= 5")
-    legal = lambda rows: rows.join(few, rows["query"] == few["so_hieu"]).select("qid", "sub", "chunk_id", (-F.col("place")).cast("double").alias("score"), "text")
-    contexts = A.merged(subs, A.routed(subs, {"legal_query": legal}))
+    relations = table(spark, folder, "document_relation").select("entity_start", "entity_end", "relation_type").distinct()
+    branches = {"legal_query": A.legal_branch(nodes, documents), "general": A.general_branch(_search_texts(spark, folder)), "doc_relation": A.relation_branch(documents, relations)}
+    contexts = A.merged(subs, A.routed(subs, branches))
     return A.answered(contexts).select("qid", F.md5("answer").alias("digest"), F.char_length("answer").alias("n_chars"))
 
 
