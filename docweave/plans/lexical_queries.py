@@ -187,3 +187,5 @@ SQL = {
     "index_stats": _BASE + "SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS vocabulary, (SELECT count(*) FROM post) AS n_postings FROM tot",
     "stopword_free_tokens": f"SELECT id, token, count(*) AS n FROM (SELECT id, unnest({_WORDS.format('ten_van_ban')}) AS token FROM (SELECT DISTINCT id, ten_van_ban FROM document_metadata)) WHERE NOT list_contains({_STOP}, token) GROUP BY ALL",
 }
+_JOINED = r"regexp_replace({0}, '([\p{{L}}\p{{N}}_])[/\-]+([\p{{L}}\p{{N}}_])', '\1_\2', 'g')"
+SQL["code_preserving_tokens"] = "SELECT id, token, count(*) AS n FROM (SELECT id, unnest(list_filter(string_split(trim(regexp_replace(" + _JOINED.format(_JOINED.format("lower(ten_van_ban)")) + r", '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), ' '), lambda w: w <> '')) AS token FROM (SELECT DISTINCT id, ten_van_ban FROM document_metadata) WHERE ten_van_ban IS NOT NULL) GROUP BY ALL"

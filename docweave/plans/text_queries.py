@@ -298,3 +298,22 @@ SQL = {
     "article_counts": "SELECT doc_id, len(regexp_extract_all(text, '(?m)^\\s*Điều\\s+\\d+[a-zA-Z]?\\.'))::INT AS so_dieu, " + _KIND + " AS loai FROM documents WHERE text IS NOT NULL",
     "word_window_split": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, ws, CASE WHEN len(ws) > 500 THEN range(0, greatest(len(ws) - 50, 1), 400) ELSE [0] END AS ss FROM w) SELECT doc_id, unnest(range(len(ss)))::INT AS number, unnest(list_transform(ss, lambda x: CASE WHEN len(ws) > 500 THEN least(450, len(ws) - x) ELSE len(ws) END))::INT AS n_words FROM s",
 }
+
+_BLANK = "[ \\t\\n\\x0B\\f\\r]+"
+_REFS = """WITH n AS (SELECT id, any_value(reference) AS r FROM document_node GROUP BY id), e AS (SELECT id AS main, trim(unnest(r), ' ') AS ref, unnest(range(len(r))) AS p FROM n WHERE len(r) > 0),
+o AS (SELECT main, ref, row_number() OVER (PARTITION BY main ORDER BY min(p)) - 1 AS pos FROM e WHERE ref IS NOT NULL AND ref <> '' GROUP BY main, ref),
+k AS (SELECT * FROM o JOIN n ON n.id = o.ref WHERE NOT (main = ref OR starts_with(ref, main || '.') OR starts_with(main, ref || '.'))),
+s AS (SELECT main, ref, pos, CASE WHEN split_part(main, '.', 1) = split_part(ref, '.', 1) THEN 8.0 ELSE 6.0 END::DOUBLE - pos * 0.5 AS score FROM k),
+x AS (SELECT main, ref, score, row_number() OVER (PARTITION BY main ORDER BY score DESC, pos, ref)::INT AS rank FROM s WHERE score >= 6.0 QUALIFY rank <= 3)"""
+SQL |= {
+    "length_guard": f"WITH c AS (SELECT DISTINCT id, content FROM document_node WHERE content IS NOT NULL), w AS (SELECT split_part(id, '.', 1) AS doc, id, len(regexp_split_to_array(trim(content, ' '), '{_BLANK}'))::INT AS n_words FROM c) SELECT doc, id, n_words, count(*) OVER (PARTITION BY doc) AS n_long FROM w WHERE n_words > 256",
+    "ref_expand": _REFS + " SELECT * FROM x",
+    "ref_candidates": "WITH c AS (SELECT DISTINCT id, content FROM document_node WHERE content IS NOT NULL), s AS (SELECT id, list_filter([trim(x, ' ') FOR x IN string_split(regexp_replace(content, '([.!?;])" + _BLANK + "', '\\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS ss FROM c) SELECT id, len(ss)::INT AS n_sentences, len(list_filter(ss, lambda x: regexp_matches(x, '" + N.CANDIDATE.replace("(?iu)", "(?i)") + "')))::INT AS n_candidates FROM s",
+    "context_blocks": _REFS + """, t AS (SELECT id AS ref, min(full_text) AS full_text FROM document_node GROUP BY id), b AS (SELECT main, string_agg('  > ' || coalesce(full_text, ref), chr(10) ORDER BY rank, coalesce(full_text, ref)) AS below FROM x JOIN t USING (ref) GROUP BY main),
+f AS (SELECT DISTINCT query_id AS qid, result_id, chunk_id AS main, text, distance FROM chroma_query_result WHERE distance IS NOT NULL AND text IS NOT NULL), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, result_id) AS rank FROM f),
+c AS (SELECT qid, string_agg(concat_ws(chr(10), text, below), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM m LEFT JOIN b USING (main) GROUP BY qid) SELECT qid, md5(context) AS digest, length(context)::INT AS n_chars FROM c""",
+    "parent_context": """WITH RECURSIVE n AS (SELECT id, min(parent_id) AS parent, min(title) AS title FROM document_node WHERE id IS NOT NULL GROUP BY id),
+up AS (SELECT n.id, n.parent AS above, 1 AS k FROM n JOIN n p ON p.id = n.parent UNION ALL SELECT up.id, n.parent, k + 1 FROM up JOIN n ON n.id = up.above JOIN n p ON p.id = n.parent WHERE k < 2000),
+looped AS (SELECT DISTINCT id FROM up WHERE k >= 2000), a AS (SELECT up.id, k, n.title FROM up JOIN n ON n.id = up.above WHERE up.id NOT IN (SELECT id FROM looped) AND n.title IS NOT NULL AND n.title <> '')
+SELECT id, string_agg(title, chr(10) ORDER BY k DESC) AS context FROM a GROUP BY id""",
+}

@@ -159,3 +159,11 @@ SQL = {
     "shard_merge_anti": "SELECT chunk_id, min(o) AS origin FROM (SELECT chunk_id, CASE WHEN bool_or(w = 0) THEN 'embedding' WHEN bool_or(w = 1) THEN 'even' ELSE 'odd' END AS o FROM (SELECT chunk_id, 0 AS w FROM embedding_result UNION ALL SELECT chunk_id, CASE WHEN query_id % 2 = 0 THEN 1 ELSE 2 END FROM chroma_query_result WHERE query_id IS NOT NULL) WHERE chunk_id IS NOT NULL GROUP BY chunk_id) GROUP BY chunk_id",
     "path_ancestors": f"WITH n AS (SELECT DISTINCT id FROM document_node), a AS (SELECT id, {_ABOVE.format('id')} AS up FROM n) SELECT id, unnest(range(len(up)))::INT AS pos, unnest(up) AS ancestor FROM a",
 }
+_SECTION = "CASE WHEN regexp_matches(regexp_replace({0}, '__dup_\\d+', '', 'g'), '(^|\\.){1}(_[^.]*)?(\\.|$)') THEN trim('{2} ' || replace(regexp_extract(regexp_replace({0}, '__dup_\\d+', '', 'g'), '(?:^|\\.){1}(?:_([^.]*))?(?:\\.|$)', 1), '_', '.'), ' ') END"
+SQL |= {
+    "knn_l2": _knn("round(list_sum(list_transform(list_zip(qv, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)", 10),
+    "upsert_merge": "SELECT id, type, loaded_at FROM (SELECT DISTINCT id, type, loaded_at FROM document_node) QUALIFY CASE WHEN loaded_at = min(loaded_at) OVER (PARTITION BY id) THEN loaded_at = max(loaded_at) OVER (PARTITION BY id) ELSE row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, type NULLS FIRST) = 1 END",
+    "metadata_lookup": f"WITH n AS (SELECT id, any_value(type) AS type FROM document_node GROUP BY id), l AS (SELECT id, type, {_SECTION.format('id', 'chuong', 'Chương')} AS chuong, {_SECTION.format('id', 'dieu', 'Điều')} AS dieu FROM n) SELECT * FROM l WHERE chuong = 'Chương 1' AND type IN ('dieu', 'khoan') ORDER BY id LIMIT 100",
+    "mean_pool": _STORE + ", e AS (SELECT kind, unnest(v) AS x, unnest(range(64)) AS j FROM rows_), m AS (SELECT kind, j, round(avg(x), 6) AS a FROM e GROUP BY kind, j) SELECT kind, count(*)::INT AS n, round(sum(a), 3) AS total FROM m GROUP BY kind",
+    "section_search": _knn(_COS, 3, "kind = 'dieu'"),
+}
