@@ -93,3 +93,9 @@ def top_errors(pairs: DataFrame, predicted: str, truth: str, k: int = 10) -> Dat
 def with_default(rows: DataFrame, truth: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """The truth of each row, or the default."""
     return rows.join(truth.groupBy(key).agg(F.min(value).alias(value)), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+
+
+def failed_among_wrong(wrong: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """``n_wrong, n_failed, share``: how many of the wrong answers ask about a document that couldn't be indexed."""
+    both = wrong.select(key).join(failed.select(key).distinct().withColumn("__failed", F.lit(1)), key, "left")
+    return both.agg(F.count("*").alias("n_wrong"), F.count("__failed").alias("n_failed"), F.round(F.count("__failed") / F.nullif(F.count("*"), F.lit(0)), 6).alias("share"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import number_slug, strip_marks
+from docweave.operators.metadata import number as number_of_query
 from docweave.operators.vector import upsert
 from docweave.runtime import settled
 
@@ -265,3 +266,21 @@ def corpus_of(contents: DataFrame, metadata: DataFrame, bodies: list[str]) -> Da
     """Contents of the documents of the given bodies; the filter reaches the metadata's scan, the join is on the id."""
     wanted = metadata.where(F.lower(F.trim("co_quan_ban_hanh")).isin(*bodies)).select(F.col("id").cast("long").alias("id"), "co_quan_ban_hanh", "so_hieu").dropDuplicates(["id"])
     return contents.where("content_html is not null").join(wanted, "id").select("id", "so_hieu", "co_quan_ban_hanh", "content_html")
+
+
+# What a listed document shows where a field is empty.
+SHOWN = {"so_hieu": "", "ten_van_ban": "Chưa xác định", "loai": "", "co_quan_ban_hanh": "", "ngay_ban_hanh": "", "ngay_co_hieu_luc": ""}
+
+
+def search_active(documents: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """Active documents whose number holds the number in the query or whose name holds the query, whatever the case; none for a blank query."""
+    number = F.nullif(number_of_query(F.lit(query)), F.lit(""))
+    by_number = F.coalesce(F.contains(F.lower("so_hieu"), F.lower(number)), F.lit(False))
+    by_name = F.contains(F.lower("ten_van_ban"), F.lit(query.lower())) if query else F.lit(False)
+    return documents.where((F.col("trang_thai") == 1) & (by_number | by_name)).select("so_hieu", "ten_van_ban").distinct().orderBy("so_hieu", "ten_van_ban").limit(limit)
+
+
+def listed(documents: DataFrame, limit: int = 1000, offset: int = 0) -> DataFrame:
+    """A page of documents by key, empty fields as SHOWN, a missing state as active."""
+    shown = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)).alias(c) for c, default in SHOWN.items()]
+    return page(documents.select(*shown, F.coalesce("trang_thai", F.lit(1)).alias("trang_thai")), "so_hieu", limit, offset)

@@ -288,3 +288,66 @@ def too_long(rows: DataFrame, text: str, key: str, group: str, most: int) -> Dat
     long = rows.select(group, key, words.alias("n_words")).where(F.col("n_words") > most)
     n = long.groupBy(group).agg(F.count("*").alias("n_long"))
     return long.join(n.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).select(group, key, "n_words", "n_long")
+
+
+# Separators of the recursive splitter, strongest first; the last cuts anywhere.
+SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
+
+
+def recursive_pieces(text: str, size: int = 1200, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most ``size`` characters cut at the strongest separator that occurs, weaker ones within what is still too long; a piece begins with what fits into ``overlap`` of the one before."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("size must be positive, overlap from 0 to below size")
+    k = next(k for k, s in enumerate(separators) if s in text)
+    mark, weaker = separators[k], separators[k + 1 :]
+    # a separator stays with what follows it
+    parts = list(text) if not mark else [p for p in (text.split(mark)[0], *(mark + x for x in text.split(mark)[1:])) if p]
+    out: list[str] = []
+    run: list[str] = []
+
+    def pack() -> None:
+        held: list[str] = []
+        n = 0
+        for part in run:
+            if held and n + len(part) > size:
+                out.append("".join(held).strip())
+                while held and (n > overlap or n + len(part) > size):
+                    n -= len(held.pop(0))
+            held.append(part)
+            n += len(part)
+        if held:
+            out.append("".join(held).strip())
+        run.clear()
+
+    for part in parts:
+        if len(part) < size or not weaker and len(part) <= size:
+            run.append(part)
+            continue
+        pack()
+        out += recursive_pieces(part, size, overlap, weaker) if weaker else [part]
+    pack()
+    return [p for p in out if p]
+
+
+def fixed_size_chunks(documents: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 200) -> DataFrame:
+    """P8 over a table: ``id, number, piece``; blank pieces are dropped but keep their numbers."""
+    recursive_pieces("", size, overlap, ("",))  # fails here rather than in a task
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([recursive_pieces(t, size, overlap) if isinstance(t, str) else [] for t in texts], index=texts.index)
+
+    each = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(cut(F.col(text_col))).alias("number", "piece"))
+    return each.where(F.trim("piece") != "")
+
+
+def chunked(documents: DataFrame, id_col: str, text_col: str, strategy: str, **options) -> DataFrame:
+    """P10: NODE rows by a named strategy: ``hierarchical`` by structure, ``fixed_size`` by length."""
+    name = strategy.strip().lower()
+    if name == "hierarchical":
+        return parse_documents(documents, id_col, text_col, **options)
+    if name == "fixed_size":
+        pieces = fixed_size_chunks(documents, id_col, text_col, **options)
+        none = F.lit(None).cast("string")
+        return pieces.select(F.concat(F.col("id").cast("string"), F.lit(".chunk_"), F.col("number").cast("string")).alias("id"), F.col("id").cast("string").alias("parent_id"), F.lit("chunk").alias("type"), none.alias("title"), F.col("piece").alias("content"), F.col("piece").alias("full_text"), none.alias("parent_context"), F.array().cast("array<string>").alias("reference"), F.col("number").alias("position"))
+    raise ValueError(f"no chunking strategy {strategy!r}")

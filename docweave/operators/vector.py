@@ -54,7 +54,7 @@ def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray
 
 
 def _best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str, k: int) -> pd.DataFrame:
-    d = np.round(_distances(queries, rows, metric), 6)
+    d = np.round(_distances(queries, rows, metric), 6) + 0.0  # no negative zeros
     d[~np.isfinite(d)] = np.inf
     out_q, out_i, out_d = [], [], []
     keep = min(k, d.shape[1])
@@ -224,3 +224,26 @@ def by_metadata(store: DataFrame, where: dict | None, key: str, limit: int = 10)
     """Rows by exact filters alone, in the order of the key."""
     only = condition(where)
     return (store if only is None else store.where(only)).orderBy(key).limit(limit)
+
+
+def chunk_rows(embeddings: DataFrame) -> DataFrame:
+    """``chunk_id, text, vector, metadata`` for the store; a row without a chunk_id is an error, chunk_index goes into the metadata unless it is there."""
+    given = F.coalesce(F.nullif(F.trim("metadata"), F.lit("")), F.lit("{}"))
+    lacks = F.col("chunk_index").isNotNull() & F.get_json_object(given, "$.chunk_index").isNull()
+    entry = F.concat(F.lit('"chunk_index": '), F.col("chunk_index").cast("string"), F.lit("}"))
+    grown = F.when(F.rlike(given, F.lit(r"^\s*\{\s*\}\s*$")), F.concat(F.lit("{"), entry)).otherwise(F.concat(F.regexp_replace(given, r"\s*\}\s*$", ", "), entry))
+    key = F.coalesce(F.nullif(F.trim("chunk_id"), F.lit("")), F.raise_error(F.lit("an embedding has no chunk_id")).cast("string"))
+    return embeddings.select(key.alias("chunk_id"), "text", "vector", F.when(lacks, grown).otherwise(given).alias("metadata"))
+
+
+def scored_by_text(pairs: DataFrame, results: DataFrame, order: list[Column]) -> DataFrame:
+    """``pairs(qid, text)`` with a score from ``results(qid, text, score)``: of several results of a text the last by ``order`` counts, a text without one has 0."""
+    last = Window.partitionBy("qid", "text").orderBy(*order)
+    one = results.withColumn("__p", F.row_number().over(last)).where("__p = 1").select("qid", "text", "score")
+    return pairs.join(one, ["qid", "text"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def scored_by_index(candidates: DataFrame, results: DataFrame, k: int) -> DataFrame:
+    """V8: a scorer's results ``(qid, index, score)`` on ``candidates(qid, index, id)``; indexes beyond the candidates are left out, an index counts once by its best score."""
+    best = results.groupBy("qid", "index").agg(F.max("score").alias("score"))
+    return rerank(candidates.join(best, ["qid", "index"]), F.col("score"), k)

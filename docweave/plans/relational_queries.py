@@ -53,6 +53,15 @@ def field_search(spark, folder):
     return R.like_field(_meta(spark, folder).where("trang_thai = 1").select("so_hieu", "linh_vuc").distinct(), "linh_vuc", "Lưu trữ", 100)
 
 
+def active_search(spark, folder):
+    return R.search_active(_meta(spark, folder), "số 9/2016/L-HNQG về nguồn nước")
+
+
+def metadata_listing(spark, folder):
+    rows = _meta(spark, folder).where("so_hieu is not null").groupBy("so_hieu").agg(*(F.min(c).alias(c) for c in (*(c for c in R.SHOWN if c != "so_hieu"), "trang_thai")))
+    return R.listed(rows)
+
+
 def metadata_page(spark, folder):
     return R.page(_meta(spark, folder).select("so_hieu").distinct(), "so_hieu", 50, 100)
 
@@ -148,7 +157,7 @@ def metadata_stats(spark, folder):
 
 
 _NAMES = (
-    "metadata_upsert find_by_number number_search name_search_ladder name_search_titles field_search metadata_page metadata_fuzzy_search relations_by_entity relation_report relation_save_idempotent relation_delete_triple relation_stats folder_types relation_build "
+    "metadata_upsert find_by_number number_search name_search_ladder name_search_titles field_search active_search metadata_listing metadata_page metadata_fuzzy_search relations_by_entity relation_report relation_save_idempotent relation_delete_triple relation_stats folder_types relation_build "
     "deactivate_cascade replace_workflow backfill_default resync_first_better agency_distribution agency_filter corpus_filter_join metadata_stats"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
@@ -182,3 +191,7 @@ SQL = {
 SELECT body, n FROM c WHERE n > 5 AND (body IN ({_list(R.KEPT_BODIES)}) OR list_bool_or([starts_with(body, p) FOR p IN [{_list(R.KEPT_PREFIXES)}]])) AND NOT list_bool_or([starts_with(body, p) FOR p IN ['ban ', 'cục ', 'tổng cục ', 'chi cục ', 'sở ', 'văn phòng ']])
 AND NOT contains(body, 'mặt trận') AND NOT contains(body, 'đoàn') AND NOT (contains(body, 'hội') AND NOT (contains(body, 'hội đồng nhân dân') OR contains(body, 'quốc hội')))""",
 }
+SQL |= {
+    "active_search": "SELECT DISTINCT so_hieu, ten_van_ban FROM document_metadata WHERE trang_thai = 1 AND (contains(lower(so_hieu), '9_2016_l-hnqg') OR contains(lower(ten_van_ban), 'số 9/2016/l-hnqg về nguồn nước')) ORDER BY so_hieu, ten_van_ban LIMIT 100",
+    "metadata_listing": "SELECT so_hieu, " + ", ".join(f"coalesce(nullif(min({c}), ''), '{R.SHOWN[c]}') AS {c}" for c in R.SHOWN if c != "so_hieu") + ", coalesce(min(trang_thai), 1) AS trang_thai FROM document_metadata WHERE so_hieu IS NOT NULL GROUP BY so_hieu ORDER BY so_hieu LIMIT 1000",
+}

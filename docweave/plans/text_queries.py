@@ -130,6 +130,12 @@ def fixed_chunks(spark, folder):
     return rows.select("doc_id", F.col("w.number").alias("number"), F.char_length("w.piece").alias("n_chars"))
 
 
+def recursive_chunks(spark, folder):
+    """Every document in pieces by the recursive splitter."""
+    rows = spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
+    return S.chunked(rows, "doc_id", "text", "fixed_size").select("id", "parent_id", F.char_length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 def word_window_split(spark, folder):
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(S.word_windows(F.col("text"), 500, 450, 50)).alias("number", "piece"))
     return rows.select("doc_id", "number", F.size(F.filter(F.split("piece", r"\s+"), lambda w: w != "")).alias("n_words"))
@@ -241,7 +247,7 @@ def section_search(spark, folder):
 
 _NAMES = (
     "clean_text html_to_text normalize_titles strip_diacritics slug_id to_roman number_words fuzzy_name_match answer_letter json_props json_recovered document_heads article_counts heading_parse structure_tree parent_context dup_suffix "
-    "fixed_chunks word_window_split chunk_type_histogram embedding_texts length_guard ref_candidates ref_extract nearest_law ref_ranges ref_expand reference_lists context_blocks citations cross_branch_dedup intent_route_merge section_search"
+    "fixed_chunks recursive_chunks word_window_split chunk_type_histogram embedding_texts length_guard ref_candidates ref_extract nearest_law ref_ranges ref_expand reference_lists context_blocks citations cross_branch_dedup intent_route_merge section_search"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 

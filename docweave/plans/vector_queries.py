@@ -14,7 +14,7 @@ SIZE = 64
 
 def store(spark: SparkSession, folder: str) -> DataFrame:
     """One row a record, with its chunk's section type (from the chunk id's last part)."""
-    rows = table(spark, folder, "embedding_result").select("emb_id", "chunk_id", "vector")
+    rows = table(spark, folder, "embedding_result").select("emb_id", "chunk_id", "vector", F.coalesce(F.get_json_object("metadata", "$.trang_thai").cast("int"), F.lit(1)).alias("trang_thai"))
     kind = F.regexp_extract(F.col("chunk_id"), r"\.([a-z_]+?)(?:_[^._]*)?$", 1)
     return rows.dropDuplicates(["emb_id"]).withColumn("kind", F.when(kind == "", F.lit("document")).otherwise(kind))
 
@@ -57,13 +57,27 @@ def retrieve_rerank(spark, folder):
 
 
 def vector_search(spark, folder):
-    """Leaves only, 50 nearest, chunks below another result dropped, 5 kept."""
-    near = _near(spark, folder, k=50, where={"kind": list(V.LEAVES)})
+    """Leaves in force only, 50 nearest, chunks below another result dropped, 5 kept."""
+    near = _near(spark, folder, k=50, where={"kind": list(V.LEAVES), "trang_thai": 1})
     chunks = store(spark, folder).select(F.col("emb_id").alias("id"), "chunk_id")
     kept = V.without_descendants(near.join(chunks, "id").select("qid", "id", "chunk_id", "distance"), "chunk_id", ["qid"])
     return V.rerank(kept, -F.col("distance"), 5).select("qid", "id", "chunk_id", "distance", "rank")
 
 
+def store_rows(spark, folder):
+    """The rows a vector store gets, with their chunk's number in the metadata."""
+    rows = table(spark, folder, "embedding_result").where("chunk_id is not null").select("emb_id", "chunk_id", "chunk_index", "text", "vector", "metadata").dropDuplicates(["emb_id"])
+    made = V.chunk_rows(rows.withColumn("text", F.col("emb_id").cast("string")))
+    return made.select(F.col("text").cast("long").alias("emb_id"), "chunk_id", F.get_json_object("metadata", "$.chunk_index").cast("int").alias("chunk_index"), F.get_json_object("metadata", "$.section_type").alias("section_type"))
+
+
+def scores_by_text(spark, folder):
+    """Each query's texts with the rerank score of the last result that has the text."""
+    rows = table(spark, folder, "chroma_query_result").where("query_id is not null and text is not null").select(F.col("query_id").alias("qid"), "text", "result_id", F.col("score_rerank").alias("score")).distinct()
+    asked = rows.select("qid", "text").distinct()
+    return V.scored_by_text(asked, rows.where("score is not null"), [F.desc("result_id")]).select("qid", F.md5("text").alias("text_md5"), "score")
+
+
 def ancestor_dedup(spark, folder):
     rows = table(spark, folder, "chroma_query_result").where("query_id is not null and chunk_id is not null").select("query_id", "chunk_id").distinct()
     return V.without_descendants(rows, "chunk_id", ["query_id"])
@@ -126,7 +140,7 @@ def path_ancestors(spark, folder):
 
 
 _NAMES = (
-    "knn_cosine knn_l2 knn_ip knn_filtered knn_threshold retrieve_rerank vector_search ancestor_dedup l2_normalize embedding_pad_truncate mean_pool get_by_ids_ordered upsert_merge shard_merge_anti metadata_lookup decode_paths path_ancestors"
+    "knn_cosine knn_l2 knn_ip knn_filtered knn_threshold retrieve_rerank vector_search store_rows scores_by_text ancestor_dedup l2_normalize embedding_pad_truncate mean_pool get_by_ids_ordered upsert_merge shard_merge_anti metadata_lookup decode_paths path_ancestors"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -167,3 +181,7 @@ SQL |= {
     "mean_pool": _STORE + ", e AS (SELECT kind, unnest(v) AS x, unnest(range(64)) AS j FROM rows_), m AS (SELECT kind, j, round(avg(x), 6) AS a FROM e GROUP BY kind, j) SELECT kind, count(*)::INT AS n, round(sum(a), 3) AS total FROM m GROUP BY kind",
     "section_search": _knn(_COS, 3, "kind = 'dieu'"),
 }
+SQL |= {
+    "store_rows": "SELECT emb_id, any_value(chunk_id) AS chunk_id, any_value(coalesce((metadata->>'$.chunk_index')::INT, chunk_index)) AS chunk_index, any_value(metadata->>'$.section_type') AS section_type FROM embedding_result WHERE chunk_id IS NOT NULL GROUP BY emb_id",
+    "scores_by_text": "WITH r AS (SELECT DISTINCT query_id AS qid, text, result_id, score_rerank AS score FROM chroma_query_result WHERE query_id IS NOT NULL AND text IS NOT NULL) SELECT qid, md5(text) AS text_md5, coalesce(arg_max(score, result_id) FILTER (score IS NOT NULL), 0.0) AS score FROM r GROUP BY qid, text",
+}

@@ -22,11 +22,14 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``doc_id, title, content``; ids and contents under either of their names.  ``strict`` fails on a row without an id."""
+    """``doc_id, title, content``; ids and contents under either of their names.  ``strict`` fails on a row without an id or without text."""
     doc_id = _first(("_id", "doc_id"))
     if strict:
         doc_id = F.coalesce(doc_id, F.raise_error(F.concat(F.lit("a corpus row has no id: "), F.left("value", F.lit(80)))).cast("string"))
-    return json_lines(spark, path).select(doc_id.alias("doc_id"), _first(("title",)).alias("title"), _first(("text", "content")).alias("content"))
+    content = _first(("text", "content"))
+    if strict:
+        content = F.coalesce(content, F.raise_error(F.concat(F.lit("a corpus row has no text: "), F.left("value", F.lit(80)))).cast("string"))
+    return json_lines(spark, path).select(doc_id.alias("doc_id"), _first(("title",)).alias("title"), content.alias("content"))
 
 
 def tokenized_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +57,12 @@ def share(rows: DataFrame, key: str, parts: int, part: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
 
 
+def resumed(rows: DataFrame, key: str, after=None, limit: int | None = None) -> DataFrame:
+    """Rows in the order of a key, from behind the last one that was done, ``limit`` of them; the condition reaches the scan."""
+    rows = rows if after is None else rows.where(F.col(key) > after)
+    return rows.orderBy(key) if limit is None else rows.orderBy(key).limit(limit)
+
+
 def counted_names(spark: SparkSession, path: str) -> DataFrame:
     """``name, n`` of a CSV file with a header; names trimmed and in lower case, rows with bad counts skipped."""
     rows = spark.read.csv(path, header=True, schema="name string, n string")

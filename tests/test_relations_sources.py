@@ -141,3 +141,18 @@ def test_searches_ask_every_twentieth_row(spark, tmp_path):
     for name in ("name_search_titles", "number_search", "metadata_fuzzy_search"):
         got = {(r["qid"], r["so_hieu"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert {(k, f"{k}_x") for k in (20, 40, 60, 80, 100)} <= got
+
+
+def test_branches(spark):
+    documents = spark.createDataFrame([("1_2020_l", "Luật Thủy lợi"), ("2_2021_nđ", "Nghị định về đê điều"), ("3_2022_l", "Chương trình khuyến công")], "so_hieu string, ten_van_ban string")
+    nodes = spark.createDataFrame([("1_2020_l.dieu_2", "1_2020_l", "kênh mương nội đồng"), ("1_2020_l.dieu_1", "1_2020_l", "phạm vi kênh"), ("2_2021_nđ.dieu_1", "2_2021_nđ", "đê")], "chunk_id string, so_hieu string, text string")
+    relations = spark.createDataFrame([("2_2021_nđ", "1_2020_l", "huong_dan_thi_hanh"), ("3_2022_l", "2_2021_nđ", "lien_quan")], "entity_start string, entity_end string, relation_type string")
+    subs = spark.createDataFrame([(1, 0, "kênh mương theo 1/2020/L"), (1, 1, "Điều 1 của 1/2020/L"), (2, 0, "luat thuy loi"), (3, 0, "không có")], "qid int, sub int, query string")
+    found = {}
+    for r in A.legal_branch(nodes, documents)(subs).orderBy("qid", "sub", F.desc("score")).collect():
+        found.setdefault((r["qid"], r["sub"]), []).append(r["chunk_id"])
+    assert found == {(1, 0): ["1_2020_l.dieu_2", "1_2020_l.dieu_1"], (1, 1): ["1_2020_l.dieu_1"], (2, 0): ["1_2020_l.dieu_1", "1_2020_l.dieu_2"]}
+    lines = {(r["qid"], r["text"]) for r in A.relation_branch(documents, relations)(subs.where("qid = 2")).collect()}
+    assert lines == {(2, "<- [huong_dan_thi_hanh] 2_2021_nđ (Nghị định về đê điều)")}
+    search = lambda asked: asked.select("qid", F.lit("c").alias("chunk_id"), F.lit(1.0).alias("score"), F.col("query").alias("text"))
+    assert {tuple(r) for r in A.general_branch(search)(subs).collect()} == {(q, s, "c", 1.0, t) for q, s, t in subs.collect()}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docweave.operators import evaluation as E
 from docweave.operators import lexical as L
@@ -111,3 +112,19 @@ def test_ranking_metrics(spark):
     assert ranked[1]["rr_5"] == 0.5 and abs(ranked[1]["ndcg_5"] - (1 / np.log2(3) + 1 / np.log2(4)) / ideal) < 1e-12 and ranked[2]["recall_5"] == 0
     per = E.set_metrics(run, qrels, (1, 2, 3, 20)).collect()
     assert all(r["recall_1"] <= r["recall_2"] <= r["recall_3"] <= r["recall_20"] for r in per)
+
+
+def test_store_rows_and_scores(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("a", 3, "x", [1.0], '{"k": 1}'), ("b", 2, "x", [1.0], None), ("c", 5, "x", [1.0], '{"chunk_index": 9}'), ("d", None, "x", [1.0], "{ }")], "chunk_id string, chunk_index int, text string, vector array<float>, metadata string")
+    got = {r["chunk_id"]: r["metadata"] for r in V.chunk_rows(rows).collect()}
+    assert got == {"a": '{"k": 1, "chunk_index": 3}', "b": '{"chunk_index": 2}', "c": '{"chunk_index": 9}', "d": "{ }"}
+    with pytest.raises(Exception, match="no chunk_id"):
+        V.chunk_rows(rows.withColumn("chunk_id", F.lit(" "))).collect()
+    pairs = spark.createDataFrame([(1, "x"), (1, "y"), (1, "x")], "qid int, text string")
+    results = spark.createDataFrame([(1, "x", 0.2, 1), (1, "x", 0.7, 2)], "qid int, text string, score double, n int")
+    assert sorted((r["text"], r["score"]) for r in V.scored_by_text(pairs, results, [F.desc("n")]).collect()) == [("x", 0.7), ("x", 0.7), ("y", 0.0)]
+    candidates = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (1, 2, 12)], "qid int, index int, id int")
+    told = spark.createDataFrame([(1, 2, 0.9), (1, 0, 0.1), (1, 7, 5.0), (1, -1, 5.0)], "qid int, index int, score double")
+    assert [(r["id"], r["rank"]) for r in V.scored_by_index(candidates, told, 5).orderBy("rank").collect()] == [(12, 1), (10, 2)]

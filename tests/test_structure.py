@@ -135,3 +135,26 @@ def test_nearest_places(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     row = spark.createDataFrame([("Luật A, luật b; LUẬT",), ("không",), ("",), (None,)], "t string")
     assert [r["p"] for r in row.select(N.positions(F.col("t"), "luật").alias("p")).collect()] == [[0, 8, 16], [], [], None]
+
+
+def test_recursive_pieces(spark):
+    import random
+
+    import pytest
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(("một ", "hai, ", "ba. ", "bốn\n", "năm\n\n", "sáu; ", "x" * 30 + " ")) for _ in range(400))
+    pieces = S.recursive_pieces(text, 100, 20)
+    assert max(map(len, pieces)) <= 100 and "".join(text.split()) in "".join("".join(S.recursive_pieces(text, 100, 0)).split())
+    at = 0
+    for p in pieces:  # in order, each beginning no later than where the one before ended
+        found = text.index(p, max(0, at - 25 - len(p)))
+        at = found + len(p)
+    assert S.recursive_pieces("a" * 25, 10, 3) == ["a" * 10, "a" * 10, "a" * 10, "aaaa"] and S.recursive_pieces("  ", 10, 3) == [] and S.recursive_pieces("", 10, 0) == []
+    for size, overlap in ((0, 0), (10, 10), (10, -1)):
+        with pytest.raises(ValueError, match="size"):
+            S.recursive_pieces("a", size, overlap)
+    rows = spark.createDataFrame([(1, "câu một. câu hai"), (2, None), (3, " ")], "id long, t string")
+    assert [(r["id"], r["content"]) for r in S.chunked(rows, "id", "t", " Fixed_Size ", size=10, overlap=0).orderBy("id").collect()] == [("1.chunk_0", "câu một"), ("1.chunk_1", ". câu hai")]
+    with pytest.raises(ValueError, match="strategy"):
+        S.chunked(rows, "id", "t", "other")
