@@ -127,6 +127,12 @@ def _contract(batches: Iterator[pd.DataFrame], with_trails: bool) -> Iterator[pd
 def _double(rows: DataFrame, count: int, with_trails: bool) -> DataFrame:
     """``id, root, depth`` (+ ``trail``) of rows whose parents are all among their ids, without gathering them in a task."""
     trail = ["trail"] if with_trails else []
+    looped = None
+    if with_trails:
+        # whoever runs round a loop would gather ever longer ways: loops are found without ways first, and only the others get theirs
+        known = settled(_double(rows.drop("trail"), count, False).select("id", "root", "depth").where("depth < 0"))
+        looped = known.withColumn("trail", F.array().cast("array<string>"))
+        rows = settled(rows.join(known.select("id"), "id", "left_anti"))
     hops = 1
     while rows.where("parent is not null").limit(1).count() and hops < count:
         p = rows.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("w").alias("p_w"), F.col("seg").alias("p_seg"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), *(F.col(t).alias("p_trail") for t in trail))
@@ -148,7 +154,8 @@ def _double(rows: DataFrame, count: int, with_trails: bool) -> DataFrame:
     low = rows.where("root is null").select(F.col("id").alias("p_id"), F.col("seg").alias("low"))
     out = rows.join(low, F.col("parent") == F.col("p_id"), "left")
     looping = F.col("root").isNull()
-    return out.select("id", F.coalesce("root", "low").alias("root"), F.when(looping, -1).otherwise(F.col("depth")).cast("long").alias("depth"), *(F.when(looping, F.array().cast("array<string>")).otherwise(F.col(t)).alias(t) for t in trail))
+    out = out.select("id", F.coalesce("root", "low").alias("root"), F.when(looping, -1).otherwise(F.col("depth")).cast("long").alias("depth"), *(F.col(t) for t in trail))
+    return out if looped is None else out.unionByName(looped)
 
 
 def _solve(rows: DataFrame, count: int, with_trails: bool, level: int) -> DataFrame:

@@ -67,3 +67,28 @@ def test_descendants(spark):
 def test_smallest_of_a_loop_by_code_points(spark):
     got = run(spark, [("đ", "z"), ("z", "Z"), ("Z", "đ"), ("y", "đ")])
     assert set(got.values()) == {("Z", -1)}
+
+
+def test_ways_by_doubling_beside_a_loop(spark, monkeypatch):
+    """Links that don't halve by ranges, some of them on or below a loop: the ways of the others are whole, and nobody's grows round the loop."""
+    import random
+
+    from docweave.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "LAST_LEVEL_ROWS", 10)
+    monkeypatch.setattr(H, "ROWS_PER_TASK", 40)
+    rng = random.Random(3)
+    names = [f"{rng.getrandbits(48):012x}" for _ in range(600)]
+    parent = {names[0]: None}
+    for k in range(1, 400):
+        parent[names[k]] = names[rng.randrange(max(0, k - 3), k)]
+    for k in range(400, 600):
+        parent[names[k]] = names[400 + (k - 399) % 200] if k < 500 else names[rng.randrange(400, k)]
+    parent[names[499]] = names[400]
+    got = {r["id"]: (r["depth"], r["path"]) for r in H.hierarchy(spark.createDataFrame(list(parent.items()), "id string, parent_id string"), with_paths=True).collect()}
+    for name in names[:400]:
+        way = [name]
+        while parent[way[-1]]:
+            way.append(parent[way[-1]])
+        assert got[name] == (len(way) - 1, way[::-1])
+    assert all(got[name] == (-1, None) for name in names[400:])
