@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import code_terms, content_terms
+from docweave.operators import batch_search as S
 from docweave.operators import lexical as L
 from docweave.runtime import settled, spread, table
 
@@ -57,8 +58,15 @@ def _postings(spark, folder) -> tuple[DataFrame, DataFrame]:
     return terms, settled(L.bm25_postings_of(terms, corpus(spark, folder)))
 
 
+def _counted(spark, folder) -> tuple[DataFrame, DataFrame, S.Weighing]:
+    """The documents as counted for the questions' terms, the questions, and the terms' weights."""
+    terms = settled(_terms(spark, folder))
+    rows = S.counted(corpus(spark, folder), "doc_id", "text", terms)
+    return rows, terms, S.bm25_weighing(rows)
+
+
 def bm25_search_full(spark, folder):
-    return L.search(*_postings(spark, folder), 10)
+    return S.search(*_counted(spark, folder), 10)
 
 
 def bm25_search_champion(spark, folder):
