@@ -295,3 +295,63 @@ def search(rows: DataFrame, asked: DataFrame, weighing: Weighing, k: int, most:
     """``qid, key, score, rank`` of the k best of counted documents by the sum of impact times weight."""
     posed = questions(asked, weighing)
     return _ranked(_answers(rows, posed, weighing, k, None, most)[0], posed, k, rows.columns[0])
+
+
+def _champions(rows: DataFrame, asked: Questions, weighing: Weighing, size: int, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(``t, key, score`` of the ``size`` best postings of each asked term, ``t, max_score``)."""
+    key, used = rows.columns[0], _used(asked, weighing)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, weighing, used, most):
+            terms, keys, scores, largest = [], [], [], []
+            for t, (places, impacts) in block.lists.items():
+                order = np.lexsort((places, -_rounded(impacts)))[:size]
+                terms.append(np.full(len(order), t, np.int32))
+                keys.append(block.keys[places[order]])
+                scores.append(impacts[order])
+                largest.append(np.full(len(order), impacts.max()))
+            if terms:
+                yield pa.RecordBatch.from_pydict({"t": np.concatenate(terms), key: pa.array(np.concatenate(keys)), "score": np.concatenate(scores), "largest": np.concatenate(largest)})
+
+    found = settled(rows.mapInArrow(run, f"t int, {key} {kind}, score double, largest double"))
+    order = Window.partitionBy("t").orderBy(F.desc(F.round("score", 6)), key)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("t", key, "score"), found.groupBy("t").agg(F.max("largest").alias("max_score"))
+
+
+def _essential(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, size: int, most: int) -> np.ndarray:
+    """Which terms of the questions are essential, by the bound of ``lexical.pruned_search``."""
+    best, peaks = (x.toArrow() for x in _champions(rows, asked, weighing, size, most))
+    largest = np.zeros(len(weighing.terms))
+    largest[peaks["t"].to_numpy()] = peaks["max_score"].to_numpy()
+    best = best.sort_by("t")
+    keys, scores = best.column(1).combine_chunks().dictionary_encode().indices.to_numpy() if len(best) else np.zeros(0, int), best["score"].to_numpy()
+    cuts = np.searchsorted(best["t"].to_numpy(), np.arange(len(weighing.terms) + 1))
+    starts, terms, weights = asked.starts, asked.terms, asked.weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for no in batch.column(0).to_pylist():
+                own, w = terms[starts[no] : starts[no + 1]], weights[starts[no] : starts[no + 1]]
+                spans = [slice(cuts[t], cuts[t + 1]) for t in own]
+                _, place = np.unique(np.concatenate([keys[s] for s in spans]), return_inverse=True)
+                sums = np.bincount(place, np.concatenate([scores[s] * x for s, x in zip(spans, w, strict=True)]))
+                bound = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) >= k else 0.0
+                order = np.lexsort((own, largest[own] * w))
+                mark = np.empty(len(own), bool)
+                # ranking is by rounded scores, so the bound gives way by more than a rounding step
+                mark[order] = np.cumsum((largest[own] * w)[order]) >= bound - 1e-5
+                marks.append(mark.tolist())
+            yield pa.RecordBatch.from_pydict({"no": batch.column(0), "marks": pa.array(marks, pa.list_(pa.bool_()))})
+
+    marked = rows.sparkSession.range(len(asked)).mapInArrow(run, "no long, marks array<boolean>").toArrow().sort_by("no")
+    return pc.list_flatten(marked["marks"]).to_numpy().astype(bool)
+
+
+def pruned_search(rows: DataFrame, asked: DataFrame, weighing: Weighing, k: int, champion_size: int = 50, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """As ``search``, exactly, scoring only documents that hold an essential term; also ``qid, n_evaluated``."""
+    posed = questions(asked, weighing)
+    best, evaluated = _answers(rows, posed, weighing, k, _essential(rows, posed, weighing, k, champion_size, most), most)
+    counts = evaluated.groupBy("no").agg(F.sum("n_evaluated").alias("n_evaluated"))
+    return _ranked(best, posed, k, rows.columns[0]), counts.join(posed.of, "no").select("qid", "n_evaluated")

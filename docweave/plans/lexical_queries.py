@@ -75,7 +75,7 @@ def bm25_search_champion(spark, folder):
 
 
 def bm25_wand(spark, folder):
-    return L.pruned_search(*_postings(spark, folder), 20)[0]
+    return S.pruned_search(*_counted(spark, folder), 20)[0]
 
 
 def bm25_wand_evaluated(spark, folder):

@@ -48,8 +48,18 @@ def test_search_edges(spark):
     assert rows_of(S.search(empty, terms, S.bm25_weighing(empty), 5)) == set()
 
 
-@pytest.mark.parametrize("name", ["bm25_search_full"])
+@pytest.mark.parametrize("name", ["bm25_search_full", "bm25_wand"])
 def test_pairs_are_not_shuffled(spark, alike, name):
     before = shuffled(spark)
     assert queries()[name](spark, alike).count()
     assert shuffled(spark) - before < 80_000
+
+
+def test_pruned_search_is_the_plain_one(spark):
+    docs, asked = corpus(spark, 200)
+    terms, plain = L.query_terms(asked, "id", "title"), L.bm25_index(docs).postings
+    rows = S.counted(docs, wanted=terms)
+    for k, size, most in ((3, 1, 7), (5, 50, 1000)):
+        best, evaluated = S.pruned_search(rows, terms, S.bm25_weighing(rows), k, size, most)
+        assert rows_of(best) == rows_of(L.search(terms, plain, k))
+        assert rows_of(evaluated) == rows_of(L.pruned_search(terms, plain, k, size)[1])
