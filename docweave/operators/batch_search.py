@@ -355,3 +355,16 @@ def pruned_search(rows: DataFrame, asked: DataFrame, weighing: Weighing, k: int,
     best, evaluated = _answers(rows, posed, weighing, k, _essential(rows, posed, weighing, k, champion_size, most), most)
     counts = evaluated.groupBy("no").agg(F.sum("n_evaluated").alias("n_evaluated"))
     return _ranked(best, posed, k, rows.columns[0]), counts.join(posed.of, "no").select("qid", "n_evaluated")
+
+
+def with_zeros(found: DataFrame, asked: DataFrame, qid: str, rows: DataFrame, k: int) -> DataFrame:
+    """``found``, the k best matches of each question, with the places that they leave filled by documents without a common term, at 0, in the order of the key.
+
+    No document beyond the 2k smallest keys can fill one.
+    """
+    key = rows.columns[0]
+    first = rows.select(key).orderBy(key).limit(2 * k).agg(F.sort_array(F.collect_list(key)).alias("first"))
+    zeros = asked.select(F.col(qid).alias("qid")).distinct().crossJoin(F.broadcast(first)).select("qid", F.explode("first").alias(key), F.lit(0.0).alias("score"))
+    both = found.select("qid", key, "score").unionByName(zeros.join(found, ["qid", key], "left_anti"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", key, "score", "rank")

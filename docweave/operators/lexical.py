@@ -131,7 +131,12 @@ def pruned_search(asked: DataFrame, postings: DataFrame, k: int, champion_size:
 
 def tfidf_idf(tf: DataFrame, n_docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``term, df, idf``; ``n_docs`` is a one-row table."""
-    return tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return idf_of(tf.groupBy("term").agg(F.count("*").alias("df")), n_docs)
+
+
+def idf_of(df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """B9 of ``term, df``."""
+    return df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tf_scheme(tf: DataFrame, scheme: str, key: str) -> DataFrame:

@@ -113,9 +113,16 @@ def tfidf_inverted_search(spark, folder):
     return L.inverted_search(L.query_vectors(asked(spark, folder), "id", "title", idf), weights, L.norms(weights), 10)
 
 
+def _cosine(spark, folder, scheme) -> tuple[DataFrame, DataFrame, S.Weighing]:
+    """The documents with all their words counted, the questions' vectors, and the weights of both."""
+    rows = S.counted(corpus(spark, folder), "doc_id", "text")
+    idf = settled(L.idf_of(S.frequencies(rows), rows.agg(F.count("*").alias("n_docs"))))
+    return rows, settled(L.query_vectors(asked(spark, folder), "id", "title", idf, scheme)), S.cosine_weighing(idf, scheme)
+
+
 def tfidf_forward_search(spark, folder):
-    _, idf, weights = _tfidf(spark, folder, "augmented")
-    return L.forward_search(asked(spark, folder), "id", L.query_vectors(asked(spark, folder), "id", "title", idf, "augmented"), weights, L.norms(weights), corpus(spark, folder), 5)
+    rows, vectors, weighing = _cosine(spark, folder, "augmented")
+    return S.with_zeros(S.search(rows, vectors, weighing, 5), asked(spark, folder), "id", rows, 5)
 
 
 def index_stats(spark, folder):
