@@ -108,11 +108,6 @@ def tfidf_query_vectors(spark, folder):
     return L.query_vectors(asked(spark, folder), "id", "title", _tfidf(spark, folder, "log")[1]).select("qid", "term", F.round("weight", 6).alias("weight"))
 
 
-def tfidf_inverted_search(spark, folder):
-    _, idf, weights = _tfidf(spark, folder, "log")
-    return L.inverted_search(L.query_vectors(asked(spark, folder), "id", "title", idf), weights, L.norms(weights), 10)
-
-
 def _cosine(spark, folder, scheme) -> tuple[DataFrame, DataFrame, S.Weighing]:
     """The documents with all their words counted, the questions' vectors, and the weights of both."""
     rows = S.counted(corpus(spark, folder), "doc_id", "text")
@@ -120,6 +115,10 @@ def _cosine(spark, folder, scheme) -> tuple[DataFrame, DataFrame, S.Weighing]:
     return rows, settled(L.query_vectors(asked(spark, folder), "id", "title", idf, scheme)), S.cosine_weighing(idf, scheme)
 
 
+def tfidf_inverted_search(spark, folder):
+    return S.search(*_cosine(spark, folder, "log"), 10)
+
+
 def tfidf_forward_search(spark, folder):
     rows, vectors, weighing = _cosine(spark, folder, "augmented")
     return S.with_zeros(S.search(rows, vectors, weighing, 5), asked(spark, folder), "id", rows, 5)
