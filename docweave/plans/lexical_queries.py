@@ -79,7 +79,7 @@ def bm25_wand(spark, folder):
 
 
 def bm25_wand_evaluated(spark, folder):
-    return L.pruned_search(*_postings(spark, folder), 20)[1]
+    return S.pruned_search(*_counted(spark, folder), 20)[1]
 
 
 def _tfidf(spark, folder, scheme):
