@@ -48,7 +48,7 @@ def test_search_edges(spark):
     assert rows_of(S.search(empty, terms, S.bm25_weighing(empty), 5)) == set()
 
 
-@pytest.mark.parametrize("name", ["bm25_search_full", "bm25_wand", "tfidf_forward_search", "tfidf_inverted_search", "bm25_wand_evaluated", "eval_mrr", "eval_p_r_map_hit"])
+@pytest.mark.parametrize("name", ["bm25_search_full", "bm25_wand", "tfidf_forward_search", "tfidf_inverted_search", "bm25_wand_evaluated", "eval_mrr", "eval_p_r_map_hit", "eval_recall_rr_ndcg"])
 def test_pairs_are_not_shuffled(spark, alike, name):
     before = shuffled(spark)
     assert queries()[name](spark, alike).count()
