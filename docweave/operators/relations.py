@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -12,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import number_slug, strip_marks
+from docweave.operators.likeness import Names
 from docweave.operators.metadata import number as number_of_query
 from docweave.operators.vector import upsert
 from docweave.runtime import settled
 
 #: Names and asked texts that meet in one task of a likeness search at most.
-NAMES_A_TASK, TEXTS_A_TASK = 50_000, 2000
+NAMES_A_TASK, TEXTS_A_TASK = 200_000, 2000
+#: Names that set the last place of an asked text, and those that are compared with it at once after that.
+FIRST_NAMES, NAMES_A_STEP = 64, 2048
+#: What bounds give way by, as scores are rounded to 6 places.
+SLACK = 1e-6
 #: Characters of the pieces by which a search within names finds its candidates.
 GRAM = 6
 
@@ -129,34 +133,42 @@ def by_entity(relations: DataFrame) -> DataFrame:
 def _likest(asked: pd.DataFrame, names: pd.DataFrame, threshold: float, limit: int) -> pd.DataFrame:
     """The ``limit`` documents of the likest names for each asked text.
 
-    The letters two texts share bound their likeness from above, so names are scored in the order of that bound until it falls below the last place.
+    Names are taken in the order of their letters' bound, the first few and then all that reach the last place so far, and each part is scored in the order of the
+    closer bound by common subsequences until that falls below the last place.
     """
     columns = ["q", "so_hieu", "score"]
     if not len(asked) or not len(names):
         return pd.DataFrame([], columns=columns)
     held = [t or "" for t in names["plain"]]
-    lane = {c: i for i, c in enumerate(sorted(set("".join(held))))}
-    letters = np.zeros((len(held), len(lane)), np.int32)
-    for row, t in enumerate(held):
-        for c, n in Counter(t).items():
-            letters[row, lane[c]] = n
-    lengths, numbers, rows = letters.sum(1), list(names["numbers"]), []
+    table, numbers, rows = Names(held), list(names["numbers"]), []
     for q in asked["q"]:
-        own = Counter(q)
-        cols = [lane[c] for c in own if c in lane]
-        shared = np.minimum(letters[:, cols], np.array([own[c] for c in own if c in lane], np.int32)).sum(1)
-        bound = np.round(2 * shared / np.maximum(lengths + len(q), 1), 6)
         found: dict[str, float] = {}
         least = threshold
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] < least:
-                break
-            score = round(SequenceMatcher(None, q, held[j]).ratio(), 6) if q and held[j] else 0.0
-            if score >= least:
-                for number in numbers[j]:
-                    found[number] = max(score, found.get(number, score))
-                if len(found) >= limit:
-                    least = max(least, heapq.nlargest(limit, found.values())[-1])
+        loose = table.by_letters(q)
+
+        def compare(part: np.ndarray, least: float, q=q, found=found) -> float:
+            close = table.by_subsequence(q, part)
+            for k in np.argsort(-close, kind="stable"):
+                if close[k] + SLACK < least:
+                    break
+                j = part[k]
+                score = round(SequenceMatcher(None, q, held[j]).ratio(), 6) if q and held[j] else 0.0
+                if score >= least:
+                    for number in numbers[j]:
+                        found[number] = max(score, found.get(number, score))
+                    if len(found) >= limit:
+                        least = max(least, heapq.nlargest(limit, found.values())[-1])
+            return least
+
+        first = np.argpartition(-loose, FIRST_NAMES)[:FIRST_NAMES] if len(held) > FIRST_NAMES else np.arange(len(held))
+        least = compare(first[loose[first] + SLACK >= least], least)
+        untried = loose + SLACK >= least
+        untried[first] = False
+        rest = np.flatnonzero(untried)
+        rest = rest[np.argsort(-loose[rest], kind="stable")]
+        for a in range(0, len(rest), NAMES_A_STEP):
+            part = rest[a : a + NAMES_A_STEP]
+            least = compare(part[loose[part] + SLACK >= least], least)
         rows += [(q, number, score) for number, score in heapq.nsmallest(limit, found.items(), key=lambda x: (-x[1], x[0]))]
     return pd.DataFrame(rows, columns=columns)
 
@@ -174,11 +186,13 @@ def find_documents(documents: DataFrame, asked: DataFrame, threshold: float = 0.
     # every part of the asked texts meets every part of the names
     n_texts, cores = texts.count(), spark.sparkContext.defaultParallelism
     shards = max(1, -(-names.count() // NAMES_A_TASK))
-    parts = max(1, -(-n_texts // TEXTS_A_TASK), min(n_texts, -(-4 * cores // shards)))
+    parts = max(1, -(-n_texts // TEXTS_A_TASK), min(n_texts, -(-2 * cores // shards)))
     cells = shards * parts
     left = texts.select("q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).select("q", (F.pmod(F.xxhash64("q"), F.lit(parts)) * shards + F.col("s")).alias("cell"))
     right = names.select("plain", "numbers", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p")).select("plain", "numbers", (F.col("p") * shards + F.pmod(F.xxhash64("plain"), F.lit(shards))).alias("cell"))
-    near = left.repartition(cells, "cell").groupBy("cell").cogroup(right.repartition(cells, "cell").groupBy("cell")).applyInPandas(lambda a, b: _likest(a, b, threshold, limit), "q string, so_hieu string, score double")
+    # more partitions than cells, so that few cells share one
+    dealt = lambda rows: rows.repartition(4 * cells, "cell").groupBy("cell")
+    near = dealt(left).cogroup(dealt(right)).applyInPandas(lambda a, b: _likest(a, b, threshold, limit), "q string, so_hieu string, score double")
     best = near.groupBy("q", "so_hieu").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "so_hieu")
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
