@@ -24,6 +24,8 @@ from docweave.runtime import settled
 BLOCK = 16_384
 #: A term that at least one document in so many holds is laid out over the whole block.
 DENSE = 8
+#: Fewer than one document in so many are scored one by one, more by adding up whole posting lists.
+FEW = 4
 
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
@@ -132,7 +134,7 @@ def questions(asked: DataFrame, weighing: Weighing) -> Questions:
     ends = np.cumsum(np.bincount(row, minlength=len(held)))
     number: dict[bytes, int] = {}
     at, nos, starts = [], [], [0]
-    for q, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+    for q, (a, z) in enumerate(zip(np.concatenate([[0], ends])[:-1], ends, strict=True)):
         if z > a:
             nos.append(number.setdefault(terms[a:z].tobytes() + weights[a:z].tobytes(), len(number)))
             at.append(q)
@@ -201,6 +203,13 @@ class _Block:
                 out[self.lists[t][0]] = True
         return out
 
+    def few_holding(self, terms: list[int]) -> np.ndarray | None:
+        """The documents that hold one of the terms, if they are fewer than one in ``FEW``; a term that alone has more ends the search for them."""
+        if any(len(self.lists[t][0]) * FEW >= self.n for t in terms if t in self.lists):
+            return None
+        places = np.flatnonzero(self.holding(terms))
+        return places if len(places) * FEW < self.n else None
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], weighing: Weighing, used: np.ndarray, most: int = BLOCK) -> Iterator[_Block]:
     held, n = [], 0
@@ -225,10 +234,14 @@ def _used(asked: Questions, weighing: Weighing) -> np.ndarray:
     return used
 
 
-def _answers(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, essential: np.ndarray | None = None, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(``no, key, score`` of the k best of each task, ``no, n_evaluated`` of each task); where terms are marked essential, documents without one aren't scored."""
+def _answers(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, pruning: tuple[np.ndarray, np.ndarray] | None = None, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(``no, key, score`` of the k best of each task, ``no, n_evaluated`` of each task).
+
+    With ``pruning``, each question's bound and which terms are essential: scores below the bound are left out, and where few documents hold an essential term, only they are scored.
+    """
     key, used = rows.columns[0], _used(asked, weighing)
     starts, all_terms, all_weights = asked.starts, asked.terms, asked.weights
+    bounds, essential = (np.zeros(len(asked)), None) if pruning is None else pruning
 
     def each():
         for no in range(len(starts) - 1):
@@ -242,18 +255,14 @@ def _answers(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, esse
             sums, spare, zeros = np.zeros(block.n), np.empty(block.n), np.zeros(block.n)
             for no, terms, weights, needed in each():
                 scores, keys = found.get(no, (None, None))
-                least = max(0.0, scores[-1] - 1e-6) if scores is not None and len(scores) == k else 0.0
-                candidates = None
-                if needed is not None and len(needed) < len(terms):
-                    holds = block.holding(needed)
-                    candidates = np.flatnonzero(holds)
-                if candidates is not None and len(candidates) * 4 < block.n:
+                # ranking is by rounded scores, so the bound gives way by more than a rounding step
+                least = max(0.0, bounds[no] - 1e-5, scores[-1] - 1e-6 if scores is not None and len(scores) == k else 0.0)
+                candidates = None if needed is None else block.few_holding(needed)
+                if candidates is not None:
                     at = block.sums_at(candidates, terms, weights, zeros)
                     hits, at = candidates[at > least], at[at > least]
                 else:
                     block.sums(terms, weights, sums, spare)
-                    if candidates is not None:
-                        np.multiply(sums, holds, out=sums)
                     hits = np.flatnonzero(sums > least)
                     at = sums[hits]
                 if len(hits) > 4 * k:
@@ -319,8 +328,8 @@ def _champions(rows: DataFrame, asked: Questions, weighing: Weighing, size: int,
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("t", key, "score"), found.groupBy("t").agg(F.max("largest").alias("max_score"))
 
 
-def _essential(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, size: int, most: int) -> np.ndarray:
-    """Which terms of the questions are essential, by the bound of ``lexical.pruned_search``."""
+def _essential(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bound of ``lexical.pruned_search`` on each question's k-th best score, and which terms of the questions are essential by it."""
     best, peaks = (x.toArrow() for x in _champions(rows, asked, weighing, size, most))
     largest = np.zeros(len(weighing.terms))
     largest[peaks["t"].to_numpy()] = peaks["max_score"].to_numpy()
@@ -331,7 +340,7 @@ def _essential(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = []
+            marks, bounds = [], []
             for no in batch.column(0).to_pylist():
                 own, w = terms[starts[no] : starts[no + 1]], weights[starts[no] : starts[no + 1]]
                 spans = [slice(cuts[t], cuts[t + 1]) for t in own]
@@ -343,10 +352,11 @@ def _essential(rows: DataFrame, asked: Questions, weighing: Weighing, k: int, si
                 # ranking is by rounded scores, so the bound gives way by more than a rounding step
                 mark[order] = np.cumsum((largest[own] * w)[order]) >= bound - 1e-5
                 marks.append(mark.tolist())
-            yield pa.RecordBatch.from_pydict({"no": batch.column(0), "marks": pa.array(marks, pa.list_(pa.bool_()))})
+                bounds.append(float(bound))
+            yield pa.RecordBatch.from_pydict({"no": batch.column(0), "bound": pa.array(bounds, pa.float64()), "marks": pa.array(marks, pa.list_(pa.bool_()))})
 
-    marked = rows.sparkSession.range(len(asked)).mapInArrow(run, "no long, marks array<boolean>").toArrow().sort_by("no")
-    return pc.list_flatten(marked["marks"]).to_numpy().astype(bool)
+    marked = rows.sparkSession.range(len(asked)).mapInArrow(run, "no long, bound double, marks array<boolean>").toArrow().sort_by("no")
+    return marked["bound"].to_numpy(), pc.list_flatten(marked["marks"]).to_numpy().astype(bool)
 
 
 def pruned_search(rows: DataFrame, asked: DataFrame, weighing: Weighing, k: int, champion_size: int = 50, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import evaluation as E
 from docweave.plans import lexical_queries as L
-from docweave.runtime import table
+from docweave.runtime import settled, table
 
 
 def _qrels(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +15,10 @@ def _qrels(spark: SparkSession, folder: str) -> DataFrame:
     return meta.join(table(spark, folder, "documents").select("doc_id", "so_hieu"), "so_hieu").select("qid", "doc_id").distinct()
 
 
-def _run(spark, folder):
-    return L.bm25_wand(spark, folder)
+def _judged(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The run and the qrels; a question without a qrel isn't evaluated, so it isn't searched for either."""
+    qrels = settled(_qrels(spark, folder))
+    return L.bm25_wand(spark, folder, qrels.select("qid")), qrels
 
 
 def eval_qrels(spark, folder):
@@ -24,15 +26,15 @@ def eval_qrels(spark, folder):
 
 
 def eval_recall_rr_ndcg(spark, folder):
-    return E.macro(E.ranking_metrics(_run(spark, folder), _qrels(spark, folder)))
+    return E.macro(E.ranking_metrics(*_judged(spark, folder)))
 
 
 def eval_p_r_map_hit(spark, folder):
-    return E.macro(E.set_metrics(_run(spark, folder), _qrels(spark, folder)))
+    return E.macro(E.set_metrics(*_judged(spark, folder)))
 
 
 def eval_mrr(spark, folder):
-    return E.macro(E.reciprocal_ranks(_run(spark, folder), _qrels(spark, folder)))
+    return E.macro(E.reciprocal_ranks(*_judged(spark, folder)))
 
 
 def latency_percentiles(spark, folder):

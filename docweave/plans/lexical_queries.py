@@ -58,9 +58,10 @@ def _postings(spark, folder) -> tuple[DataFrame, DataFrame]:
     return terms, settled(L.bm25_postings_of(terms, corpus(spark, folder)))
 
 
-def _counted(spark, folder) -> tuple[DataFrame, DataFrame, S.Weighing]:
-    """The documents as counted for the questions' terms, the questions, and the terms' weights."""
-    terms = settled(_terms(spark, folder))
+def _counted(spark, folder, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame, S.Weighing]:
+    """The documents as counted for the questions' terms, the questions (those of ``of(qid)``, else all), and the terms' weights."""
+    terms = _terms(spark, folder)
+    terms = settled(terms if of is None else terms.join(of, "qid", "left_semi"))
     rows = S.counted(corpus(spark, folder), "doc_id", "text", terms)
     return rows, terms, S.bm25_weighing(rows)
 
@@ -74,8 +75,8 @@ def bm25_search_champion(spark, folder):
     return L.search(terms, L.champions(postings, 50), 10)
 
 
-def bm25_wand(spark, folder):
-    return S.pruned_search(*_counted(spark, folder), 20)[0]
+def bm25_wand(spark, folder, of=None):
+    return S.pruned_search(*_counted(spark, folder, of), 20)[0]
 
 
 def bm25_wand_evaluated(spark, folder):
